@@ -51,6 +51,12 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(str(z) for z in names if "/" in str(z) or str(z) in ("UTC", "GMT"))
 
 
+def bind(c: Column) -> Column:
+    """The same value, computed once: a non-deterministic part keeps the optimizer from copying the expression into every
+    place that uses it, and from pushing filters on it below."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def _record(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, record in reversed(SPELLINGS):
@@ -76,7 +82,7 @@ def parse_columns(df: DataFrame, text: str, date_order: str | None = None) -> Da
     order = F.coalesce(F.col(date_order), F.lit("dmy")) if date_order else F.lit("dmy")
     parts = F.split(_record(F.col(text)), r"\|", -1)
     read = F.get(F.transform(F.array(parts), lambda p: _read(p, order)), F.lit(0))  # a lambda binds the parts once
-    df = df.withColumn("_r", read)
+    df = df.withColumn("_r", bind(read))
     return df.withColumns({"_local": F.col("_r.local"), "_offset": F.col("_r.offset"), "_zone": F.col("_r.zone")}).drop("_r")
 
 
@@ -142,7 +148,7 @@ def resolve_columns(df: DataFrame, zone: str, zones: list[str], local: str = "_l
     safe = F.when(known, F.col(zone)).otherwise("UTC")
     wall = F.col(local)
     offset_at = lambda micros: F.unix_micros(F.from_utc_timestamp(_ts(micros), safe)) - micros
-    df = df.withColumns({"_before": wall - offset_at(wall - _DAY), "_after": wall - offset_at(wall + _DAY)})
+    df = df.withColumns({"_before": bind(wall - offset_at(wall - _DAY)), "_after": bind(wall - offset_at(wall + _DAY))})
     fits = lambda micros: micros + offset_at(micros) == wall
     df = df.withColumns({"_b": fits(F.col("_before")), "_a": fits(F.col("_after"))})
     two = F.col("_a") & F.col("_b") & (F.col("_before") != F.col("_after"))
@@ -155,7 +161,7 @@ def resolve_columns(df: DataFrame, zone: str, zones: list[str], local: str = "_l
         .otherwise("nonexistent")
     )
     utc = F.when(F.col(offset).isNotNull(), wall - F.col(offset).cast("bigint") * 1_000_000).when(F.col("_b"), F.col("_before")).otherwise(F.col("_after"))
-    df = df.withColumn("status", status)
+    df = df.withColumn("status", bind(status))
     return df.withColumn("_utc", F.when(F.col("status") == "ok", utc)).drop("_before", "_after", "_a", "_b")
 
 

@@ -42,11 +42,11 @@ pi AS (
   SELECT doc_id, 'ProgramInformation[' || (i - 1) || ']', (j->'ProgramInformation')[i - 1]
   FROM (SELECT doc_id, j, unnest(range(1, 1 + json_array_length(j, '$.ProgramInformation')::BIGINT)) AS i FROM d WHERE json_type(j, '$.ProgramInformation') = 'ARRAY')
 ), program AS (
-  SELECT doc_id, 'program' AS kind, path, '' AS parent_path, coalesce(CASE WHEN json_type(o, '$.Title') = 'OBJECT' THEN o->'Title'->>'$value' ELSE o->>'Title' END, '') AS value
+  SELECT doc_id, 'program' AS kind, path, '' AS parent_path, coalesce(CASE WHEN json_type(o, '$.Title') = 'OBJECT' THEN o->'Title'->>'$."$value"' ELSE o->>'Title' END, '') AS value
   FROM pi WHERE json_type(o) = 'OBJECT'
 ), ns AS (
   SELECT doc_id, 'ns' AS kind, k AS path, '' AS parent_path, coalesce(CASE WHEN json_type(b) = 'OBJECT' THEN b->>'prefix' ELSE b->>'$' END, '') AS value
-  FROM (SELECT doc_id, k, map_extract(m, k)[1] AS b FROM (SELECT doc_id, unnest(map_keys(m)) AS k, m FROM (SELECT doc_id, CAST(j->'$ns' AS MAP(VARCHAR, JSON)) AS m FROM d WHERE json_type(j->'$ns') = 'OBJECT')))
+  FROM (SELECT doc_id, k, map_extract(m, k)[1] AS b FROM (SELECT doc_id, unnest(map_keys(m)) AS k, m FROM (SELECT doc_id, CAST(j->'$."$ns"' AS MAP(VARCHAR, JSON)) AS m FROM d WHERE json_type(j->'$."$ns"') = 'OBJECT')))
 ), walk AS (
   SELECT doc_id, '' AS path, '' AS parent, j AS node FROM d WHERE json_type(j) = 'OBJECT'
   UNION ALL
