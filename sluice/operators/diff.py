@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import table
+from sluice.session import ship, table
 
 # What is an element of the key chain, and how fields compare.
 LEVELS = ("MPD", "Period", "AdaptationSet", "Representation")
@@ -108,6 +108,7 @@ def _read(left: str, right: str):
 
 def compare_copies(df: DataFrame, left: str, right: str, buckets: int = 1 << 16) -> DataFrame:
     """``doc_id, path, field, kind`` of all differences between the copies ``left`` and ``right``."""
+    ship(df.sparkSession)
     keyed = df.select("doc_id", left, right, F.xxhash64(left, right).alias("pair"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     keyed = keyed.where(F.col(left).isNotNull() | F.col(right).isNotNull())
 

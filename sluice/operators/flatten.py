@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.jsontext import loads, scalar_text, storable
-from sluice.session import table
+from sluice.session import ship, table
 
 ROWS = "doc_id string, tag string, path string, parent_path string, value string"
 
@@ -78,6 +78,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def flatten(docs: DataFrame, text: str = "mpd", tags=("program", "ns", "value", "object", "reject")) -> DataFrame:
+    ship(docs.sparkSession)
     return docs.select("doc_id", text).mapInArrow(_flatten(frozenset(tags), text), ROWS)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.session import cut, table
+from sluice.session import cut, ship, table
 
 #: Bits of a block's start that lie inside a cell (at 90 kHz a cell is about three minutes).
 CELL_BITS = 24
@@ -119,6 +119,7 @@ def continuous(intervals: DataFrame) -> DataFrame:
 
     ``intervals`` has ``key`` (a struct), ``start`` and ``end``; rows with a null or start >= end are ignored.
     """
+    ship(intervals.sparkSession)
     kind = intervals.schema["key"].dataType
     wide = T.DecimalType(38, 0)
     field = T.StructField

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sluice.functions.jsontext import loads
 from sluice.functions.selectors import Step, parse_selector
 from sluice.operators.instants import known_zones, parse_columns, resolve_columns
-from sluice.session import table
+from sluice.session import ship, table
 
 LEVELS = ("Period", "AdaptationSet", "Representation")
 STATE = "mpd_id string, period_id string, as_id int, rep_id string, bandwidth bigint"
@@ -283,6 +283,7 @@ def with_instant(ops: DataFrame, packager: DataFrame, text: str = "publish_time"
 
 def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark: int | None = None) -> DataFrame:
     """The Representations after all documents.  ``ops`` has ``instant`` in microseconds (null: left out)."""
+    ship(state.sparkSession)
     op_cols = ("op_idx", "op", "sel", "pos", "attr", "payload_name", "payload_json", "value")
     state_cols = ("period_id", "as_id", "as_ord", "ord", "rep_id", "bandwidth", "width", "height", "codecs")
     ops = ops.where(F.col("instant").isNotNull())
