@@ -112,7 +112,7 @@ def minify_xml(c: Column) -> Column:
 
 
 def milliseconds_text(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.2f", ms / 1000), F.lit("s")))
+    return F.when(ms < 1000, F.concat(ms.cast("bigint").cast("string"), F.lit("ms"))).otherwise(F.concat(F.replace(F.format_number(ms / 1000, 2), F.lit(","), F.lit("")), F.lit("s")))
 
 
 def bytes_text(n: Column) -> Column:

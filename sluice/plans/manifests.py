@@ -30,7 +30,7 @@ def order_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, xml``: a manifest a customer, a Period an order, an AdaptationSet a return flag, a Representation a line."""
     line = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
     rep = F.concat(F.lit("<Representation"), _attr("id", F.concat_ws("-", "l_orderkey", "l_linenumber")), _attr("bandwidth", _cents()), _attr("maxPlayoutRate", F.col("l_quantity")), F.lit("/>"))
-    sets = line.groupBy("l_orderkey", "l_returnflag").agg(_join(F.col("l_linenumber"), rep).alias("reps"))
+    sets = line.groupBy("l_orderkey", "l_returnflag").agg(_join(F.struct("l_linenumber", _cents(), "l_quantity"), rep).alias("reps"))
     number = F.instr(F.lit("ANR"), F.col("l_returnflag"))
     aset = F.concat(F.lit("<AdaptationSet"), _attr("id", number), _attr("contentType", F.col("l_returnflag")), _attr("segmentAlignment", F.when(number > 1, "1").otherwise("false")), F.lit(">\n"), F.col("reps"), F.lit("</AdaptationSet>"))
     periods = sets.groupBy("l_orderkey").agg(_join(number, aset).alias("sets"))
@@ -81,7 +81,7 @@ def vector_attr(spark: SparkSession, folder: str) -> DataFrame:
 def uint64_exact(spark: SparkSession, folder: str) -> DataFrame:
     """Times above 2**63 through XML, JSON and the typed relation."""
     e = table(spark, folder, "events").select("user_id", "event_id")
-    t = (F.col("event_id").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("decimal(20,0)")
+    t = (F.col("event_id").cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("decimal(20,0)")
     s = F.concat(F.lit("<S"), _attr("t", t), F.lit(' d="1"/>'))
     docs = e.groupBy("user_id").agg(_join(F.col("event_id"), s).alias("body"))
     head = f'<MPD xmlns="{NS}" profiles="p" minBufferTime="PT1S"><Period><AdaptationSet><SegmentTemplate><SegmentTimeline>'
@@ -364,7 +364,7 @@ SQL = {
     "uint64_exact": "SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS s_ord, CAST(event_id::HUGEINT + 9223372036854775808::HUGEINT AS VARCHAR) AS t FROM events",
     "array_order": "SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS INTEGER) AS place, event_id, event_type FROM events",
     "escape_roundtrip": "SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM (SELECT doc_id, trim(text, E' \\t\\r\\n') AS t FROM documents)",
-    "normalize_compare": "SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS equal, 8::BIGINT AS lines FROM orders",
+    "normalize_compare": "SELECT o_orderkey AS doc_id, o_orderkey % 3 <> 0 AS equal, 9::BIGINT AS lines FROM orders",
     "line_differences": """SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CAST(pos AS INTEGER) AS pos, l AS left, r AS right FROM (
       SELECT c_custkey, 0 AS pos, c_name AS l, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS r FROM customer
       UNION ALL SELECT c_custkey, 2, 'end', CASE WHEN c_custkey % 5 > 0 THEN 'end' ELSE '<missing>' END FROM customer) WHERE l <> r""",
@@ -385,8 +385,8 @@ SQL = {
     "malformed_reject": "SELECT 'raw' AS kind, 0::BIGINT AS converted, count(*) AS rejected FROM documents UNION ALL SELECT 'wrapped', count(*), 0 FROM documents",
     "roundtrip_corpus": "SELECT category, count(*) AS total, count(*) AS passed FROM (SELECT DISTINCT doc_id, category, original_mpd FROM roundtrip WHERE original_mpd IS NOT NULL) GROUP BY category",
     "child_reorder": """SELECT c_custkey AS doc_id, local, CAST(old AS INTEGER) AS old, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY rank, old) AS INTEGER) AS new FROM (
-      SELECT c_custkey, x.local, x.rank, row_number() OVER (PARTITION BY c_custkey ORDER BY x.at) AS old FROM customer,
-      (VALUES ('x', 9, 1), ('Period', 4, 2), ('UTCTiming', 5, 3), ('BaseURL', 1, 4), ('Period', 4, 5), ('ProgramInformation', 0, 6)) AS x(local, rank, at) WHERE NOT (x.local = 'UTCTiming' AND c_custkey % 2 = 1))""",
+      SELECT c_custkey, x.local, x.rank, row_number() OVER (PARTITION BY c_custkey ORDER BY x.seat) AS old FROM customer,
+      (VALUES ('x', 9, 1), ('Period', 4, 2), ('UTCTiming', 5, 3), ('BaseURL', 1, 4), ('Period', 4, 5), ('ProgramInformation', 0, 6)) AS x(local, rank, seat) WHERE NOT (x.local = 'UTCTiming' AND c_custkey % 2 = 1))""",
     "facets_errors": """SELECT path, count(*) AS n FROM (
       SELECT unnest([CASE WHEN o_orderkey % 7 = 0 THEN '/@id' END, CASE WHEN o_orderkey % 5 < 2 THEN '/@bandwidth' END, CASE WHEN o_orderkey % 9 > 6 THEN '/@startWithSAP' END, CASE WHEN o_orderkey % 4 = 0 THEN '/@sar' END,
         CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN '/@codingDependency' END, CASE WHEN o_orderkey % 6 = 0 THEN '/@audioSamplingRate' END, CASE WHEN o_orderkey % 8 = 0 THEN '/@maxPlayoutRate' END]) AS path FROM orders) WHERE path IS NOT NULL GROUP BY path""",
