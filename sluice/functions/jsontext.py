@@ -19,6 +19,7 @@ def _refuse(name: str) -> None:
 
 _DECODER = json.JSONDecoder(parse_int=Raw, parse_float=Raw, parse_constant=_refuse)
 _TOKEN = re.compile(r'[ \t\r\n]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*+")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|(true|false|null))')
+_LONE = re.compile("[\ud800-\udfff]")
 _WORDS = {"true": True, "false": False, "null": None}
 
 
@@ -88,4 +89,4 @@ def scalar_text(value: Any) -> str:
 
 def storable(text: str) -> str:
     """Lone surrogates, which UTF-8 cannot hold, become U+FFFD."""
-    return text if text.isascii() else text.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if any(0xD800 <= ord(c) < 0xE000 for c in text) else text
+    return text if text.isascii() else _LONE.sub("\ufffd", text)
