@@ -23,7 +23,7 @@ def read_manifests(spark: SparkSession, path: str, glob: str = "*.mpd", recursiv
 
 def read_json_manifests(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """``doc_id``, ``json``: one document a file."""
-    df = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
+    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("json"))
 
 
@@ -40,10 +40,12 @@ def read_url_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_url_report(spark: SparkSession, path: str) -> DataFrame:
     """``file_name``, ``url`` from a report in which a ``URL:`` line is followed by its ``Saved as:`` line."""
-    df = spark.read.option("wholetext", "true").text(path)
-    pairs = F.regexp_extract_all("value", F.lit(r"(?m)^\s+URL:\s+(\S.*?)\s*$(?:(?!^\s+URL:)[\s\S])*?^\s+Saved as:\s+(\S.*?)\s*$"), F.lit(1))
-    saved = F.regexp_extract_all("value", F.lit(r"(?m)^\s+URL:\s+(\S.*?)\s*$(?:(?!^\s+URL:)[\s\S])*?^\s+Saved as:\s+(\S.*?)\s*$"), F.lit(2))
-    return df.select(F.explode(F.arrays_zip(saved.alias("file_name"), pairs.alias("url"))).alias("x")).select("x.file_name", "x.url")
+    df = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"^\s+(?:URL|Saved as):\s+\S"))  # URL lines and their answers, in order
+    pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    text = lambda c: F.trim(F.regexp_replace(c, r"^\s+[^:]+:\s+", ""))
+    found = df.select(F.explode(pairs).alias("x")).where(F.col("x.a").rlike(r"^\s+URL:") & F.col("x.b").rlike(r"^\s+Saved as:"))
+    return found.select(text(F.col("x.b")).alias("file_name"), text(F.col("x.a")).alias("url"))
 
 
 def read_catalogue(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
