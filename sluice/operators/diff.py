@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import ship, table
+from sluice.session import scan, ship
 
 # What is an element of the key chain, and how fields compare.
 LEVELS = ("MPD", "Period", "AdaptationSet", "Representation")
@@ -134,4 +134,4 @@ def compare_copies(df: DataFrame, left: str, right: str, buckets: int = 1 << 16)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compare_copies(table(spark, folder, "roundtrip"), "original_mpd", "regenerated_mpd")
+    return compare_copies(scan(spark, folder, "roundtrip", "doc_id", "original_mpd", "regenerated_mpd"), "original_mpd", "regenerated_mpd")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.jsontext import loads, scalar_text, storable
-from sluice.session import ship, table
+from sluice.session import scan, ship
 
 ROWS = "doc_id string, tag string, path string, parent_path string, value string"
 
@@ -95,5 +95,5 @@ def typed(rows: DataFrame, tag: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = flatten(table(spark, folder, "mpd_json"), tags=("program", "ns", "value"))
+    rows = flatten(scan(spark, folder, "mpd_json", "doc_id", "mpd"), tags=("program", "ns", "value"))
     return rows.select("doc_id", F.col("tag").alias("kind"), "path", "parent_path", "value").distinct()

@@ -225,9 +225,10 @@ def normalise_instants(ops: DataFrame, packager: DataFrame, fields=("publish_tim
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    from sluice.session import table
+    from sluice.session import scan, table
 
-    got = normalise_instants(table(spark, folder, "patch_op"), table(spark, folder, "packager"))
+    ops = scan(spark, folder, "patch_op", "patch_id", "packager_id", "publish_time", "original_publish_time", "received_at")
+    got = normalise_instants(ops, table(spark, folder, "packager"))
     settled = F.col("text").rlike(SETTLED) & (F.col("status") == "ok")
     return got.where(~settled).select("patch_id", "field", "status", "utc").distinct()
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import table
+from sluice.session import scan
 
 FIELDS = ("doc_id", "category", "success", "xsd_errors", "json_schema_errors", "error", "finished_at", "ms_to_json")
 # The categories of a conversion.
@@ -109,13 +109,13 @@ def load_valid(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    read = read_records(table(spark, folder, "conversion_raw").select("line_id", "raw"))
+    read = read_records(scan(spark, folder, "conversion_raw", "line_id", "raw"))
     return read.select("line_id", F.explode("faults").alias("x")).select("line_id", "x.reason", "x.field").distinct()
 
 
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """Per category: valid records, passed ones, errors listed and milliseconds."""
-    ok = load_valid(table(spark, folder, "conversion_raw"))
+    ok = load_valid(scan(spark, folder, "conversion_raw", "line_id", "raw"))
     listed = F.coalesce(F.size("xsd_errors"), F.lit(0)) + F.coalesce(F.size("json_schema_errors"), F.lit(0))
     return ok.groupBy("category").agg(
         F.count("*").alias("records"), F.count_if("success").alias("passed"), F.sum(F.greatest(listed, F.lit(0)).cast("bigint")).alias("errors"), F.coalesce(F.sum("ms_to_json"), F.lit(0)).alias("ms")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sluice.functions.jsontext import loads
 from sluice.functions.selectors import Step, parse_selector
 from sluice.operators.instants import known_zones, parse_columns, resolve_columns
-from sluice.session import ship, table
+from sluice.session import scan, ship, table
 
 LEVELS = ("Period", "AdaptationSet", "Representation")
 STATE = "mpd_id string, period_id string, as_id int, rep_id string, bandwidth bigint"
@@ -298,5 +298,5 @@ def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    ops = with_instant(table(spark, folder, "patch_op"), table(spark, folder, "packager"))
+    ops = with_instant(scan(spark, folder, "patch_op"), table(spark, folder, "packager"))
     return replay(table(spark, folder, "representation"), ops).distinct()

@@ -40,6 +40,16 @@ def ship(spark: SparkSession) -> None:
     context._sluice_shipped = True
 
 
+def scan(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table for work that is heavy per row: where its files give fewer splits than the cluster has cores (small or highly
+    compressed files), its rows are dealt out evenly.  Large inputs have enough splits and are read as they are."""
+    df = table(spark, folder, name)
+    if columns:
+        df = df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
