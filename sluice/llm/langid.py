@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import ship, table
+from sluice.session import scan, ship, table
 
 ORDER = 4
 TEMPER = 0.02
@@ -330,7 +330,7 @@ def label_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    docs = scan(spark, folder, "documents", "doc_id", "lang", "text")
     return label_paragraphs(docs, fit(docs, table(spark, folder, "eval_item")))
 
 

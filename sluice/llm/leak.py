@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import ship, table
+from sluice.session import scan, ship, table
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -310,4 +310,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = No
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item")).select("item_id", "doc_id").distinct()
+    return find_leaks(scan(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_item")).select("item_id", "doc_id").distinct()

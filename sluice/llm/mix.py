@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.langid import label_language
-from sluice.session import cut, ship, table
+from sluice.session import cut, scan, ship, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer splits a text before merging.
@@ -175,7 +175,7 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+    return mix(scan(spark, folder, "documents", "doc_id", "text", "lang", "source"), table(spark, folder, "mix_target"))
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
