@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.columns import bind
+
 # Month names as written in the texts.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
@@ -47,14 +49,9 @@ _DAY = 86_400_000_000
 
 def known_zones(spark: SparkSession) -> list[str]:
     """Names of the zones that the session's JVM knows (about 600; fixed by its zone data, not by the input)."""
-    names = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()
-    return sorted(str(z) for z in names if "/" in str(z) or str(z) in ("UTC", "GMT"))
-
-
-def bind(c: Column) -> Column:
-    """The same value, computed once: a non-deterministic part keeps the optimizer from copying the expression into every
-    place that uses it, and from pushing filters on it below."""
-    return F.when(F.spark_partition_id() >= 0, c)
+    jvm = spark.sparkContext._jvm
+    names = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")
+    return sorted(z for z in names if "/" in z or z in ("UTC", "GMT"))
 
 
 def _record(text: Column) -> Column:

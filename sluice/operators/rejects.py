@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.columns import bind
 from sluice.session import scan
 
 FIELDS = ("doc_id", "category", "success", "xsd_errors", "json_schema_errors", "error", "finished_at", "ms_to_json")
@@ -70,9 +71,9 @@ def read_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``rec`` (all fields as text, null unless quoting and count are right) and ``faults`` (array of reason, field)."""
     options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": "-1", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     ddl = ", ".join(f"{f} string" for f in FIELDS) + ", _corrupt string"
-    df = df.where(F.col(raw).isNotNull()).withColumn("_skeleton", _skeleton(F.col(raw)))
-    df = df.withColumn("_reason", F.when(~_well_quoted(F.col("_skeleton")), "quoting").when(F.size(F.split("_skeleton", ",", -1)) != len(FIELDS), "column_count"))
-    df = df.withColumn("rec", F.when(F.col("_reason").isNull(), F.from_csv(raw, ddl, options)))
+    df = df.where(F.col(raw).isNotNull()).withColumn("_skeleton", bind(_skeleton(F.col(raw))))
+    df = df.withColumn("_reason", bind(F.when(~_well_quoted(F.col("_skeleton")), "quoting").when(F.size(F.split("_skeleton", ",", -1)) != len(FIELDS), "column_count")))
+    df = df.withColumn("rec", bind(F.when(F.col("_reason").isNull(), F.from_csv(raw, ddl, options))))
     v = {f: F.coalesce(F.col(f"rec.{f}"), F.lit("")) for f in FIELDS}
     empty = lambda f: v[f] == ""
     good = {
@@ -87,7 +88,7 @@ def read_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     fault = lambda reason, field: F.struct(reason.alias("reason"), F.lit(field).alias("field"))
     values = F.array(*[F.when(~ok, fault(F.lit("invalid_value"), f)) for f, ok in good.items()])
     faults = F.when(F.col("_reason").isNotNull(), F.array(fault(F.col("_reason"), ""))).otherwise(F.filter(values, lambda x: x.isNotNull()))
-    return df.withColumn("faults", faults).drop("_skeleton", "_reason")
+    return df.withColumn("faults", bind(faults)).drop("_skeleton", "_reason")
 
 
 def load_valid(df: DataFrame, raw: str = "raw") -> DataFrame:
