@@ -8,7 +8,8 @@ estimator chose for the writer.
 Zone estimation (``estimate_zones``): each zone-less local time is aligned with the time the record was received.  For a
 candidate zone (a whole offset history, so summer time is covered) a *violation* is a local time that would lie after
 its receipt, or longer before it than ``max_lag``.  The candidate with fewest violations wins; ties go to the declared
-zone, then to the name.  Violations are counted by one hash aggregate with map-side combine, so no key is ever gathered.
+zone, then to the name.  A declared zone is evidence too: it is overruled only where at least ``least_texts`` texts are
+seen and the best candidate mends more than half of them.  Violations are counted by one hash aggregate with map-side combine, so no key is ever gathered.
 
 Defined results: null text gives no row; empty, partial or impossible texts give ``invalid``; a local time that fits two
 instants gives ``ambiguous``, one that a clock change skips ``nonexistent``.  Repeated rows give one row.  A zone-less
@@ -172,7 +173,7 @@ def format_utc(micros: Column) -> Column:
     return F.concat(date, F.lit("T"), two((s - s % 3600) / 3600), F.lit(":"), two((s % 3600 - s % 60) / 60), F.lit(":"), two(s % 60), F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("Z"))
 
 
-def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: DataFrame, zones: list[str], max_lag_s: int = 900) -> DataFrame:
+def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: DataFrame, zones: list[str], max_lag_s: int = 900, least_texts: int = 10) -> DataFrame:
     """Choose the zone of each writer: ``writer, declared, zone, texts, violations``.
 
     ``parsed`` has ``_local``, ``_offset``, ``_zone`` and the receipt time; ``declared`` has one row per writer with
@@ -197,14 +198,16 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
         F.max(F.when(F.col("zone") == F.col("declared"), F.col("violations"))).alias("declared_violations"),
     )
     chosen = best.select(writer, F.col("b.zone").alias("zone"), F.col("b.texts").alias("texts"), F.col("b.violations").alias("violations"), "declared_violations")
-    return d.join(chosen, writer, "left").withColumn("zone", F.coalesce("zone", "declared"))
+    contradicted = (F.col("texts") >= least_texts) & (F.col("declared_violations") - F.col("violations") > F.col("texts") / 2)
+    zone = F.when(F.col("declared").isNull() | contradicted, F.coalesce("zone", "declared")).otherwise(F.col("declared"))
+    return d.join(chosen, writer, "left").withColumn("zone", zone)
 
 
 def normalise_instants(ops: DataFrame, packager: DataFrame, fields=("publish_time", "original_publish_time"), keys=("patch_id",), writer: str = "packager_id", received: str = "received_at", max_lag_s: int = 900) -> DataFrame:
     """All texts of ``fields`` with ``keys, field, text, status, utc`` and ``_utc`` in microseconds.
 
-    Texts are distinct per key, writer and field before anything is parsed.  The zone of a writer comes from
-    ``estimate_zones``; a declared zone wins over a differing estimate (the data's own statement holds).
+    Texts are distinct per key, writer and field before anything is parsed.  The zone of a writer's zone-less texts is the
+    one that ``estimate_zones`` chose.
     """
     spark = ops.sparkSession
     zones = known_zones(spark)
@@ -215,7 +218,7 @@ def normalise_instants(ops: DataFrame, packager: DataFrame, fields=("publish_tim
     parsed = parse_columns(rows.join(F.broadcast(dim.select(writer, "date_order")), writer, "left"), "text", "date_order")
     publish = parsed.where(F.col("field") == fields[0])
     chosen = estimate_zones(publish, writer, received, dim, zones, max_lag_s)
-    chosen = chosen.select(writer, F.coalesce("declared", "zone").alias("_home"))
+    chosen = chosen.select(writer, F.col("zone").alias("_home"))
     out = parsed.join(F.broadcast(chosen), writer, "left").withColumn("_in", F.coalesce("_zone", "_home"))
     out = resolve_columns(out, "_in", zones)
     return out.select(*keys, "field", "text", "status", F.coalesce(format_utc(F.col("_utc")), F.lit("")).alias("utc"), "_utc")

@@ -76,6 +76,12 @@ def test_zone_is_estimated_by_alignment(spark):
     for w, z in zones.items():
         assert got[w] == (z, 0)
     assert got[4][0] == "Asia/Tokyo"
+    wrong = spark.createDataFrame([(1, "Asia/Tokyo"), (2, "America/New_York"), (3, None), (6, "Europe/Berlin")], "packager_id int, tz string")
+    got = {r.packager_id: r.zone for r in estimate_zones(parse_columns(df, "text"), "packager_id", "received_at", wrong, known_zones(spark)).collect()}
+    assert got[1] == "Europe/Berlin" and got[2] == "America/New_York", "a declared zone that the texts contradict is overruled"
+    few = df.where("month(received_at) < 3")
+    got = {r.packager_id: r.zone for r in estimate_zones(parse_columns(few, "text"), "packager_id", "received_at", wrong, known_zones(spark)).collect()}
+    assert got[1] == "Asia/Tokyo", "a few texts do not overrule"
 
 
 @pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe"])
