@@ -150,3 +150,12 @@ def child_order(node: DataFrame, order: DataFrame) -> DataFrame:
     placed = elem.join(up, ["doc_id", "parent_id"]).join(F.broadcast(order), ["parent", "local"], "left")  # one row a child name of the schema
     new = F.row_number().over(W.partitionBy("doc_id", "parent_id").orderBy(F.coalesce("place", F.lit(2**31 - 1)), "ord"))
     return placed.select("doc_id", "parent_id", "local", F.col("ord").alias("old"), new.alias("new"))
+
+
+def json_path(path: Column, singles: tuple[str, ...] = ()) -> Column:
+    """The place in the JSON form of a node's path; ``singles`` are elements that are no arrays."""
+    steps = F.slice(F.split(path, "/"), 3, 1_000_000)
+    name = lambda s: F.regexp_extract(s, r"^@?([^\[\(]+)", 1)
+    place = lambda s: F.concat(F.lit("["), (F.regexp_extract(s, r"\[(\d+)\]$", 1).cast("int") - 1).cast("string"), F.lit("]"))
+    one = lambda s: F.when(s == "text()", "$value").when(s.startswith("@") | name(s).isin(*singles), name(s)).otherwise(F.concat(name(s), place(s)))
+    return F.array_join(F.transform(steps, one), ".")

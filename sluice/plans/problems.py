@@ -34,6 +34,19 @@ g AS (SELECT *, lag(e) OVER (PARTITION BY mpd_id, period_id, as_id ORDER BY k) A
 SELECT mpd_id, period_id, as_id, 'period' AS kind, CAST(CAST(s AS HUGEINT) AS VARCHAR) AS start_t, CAST(CAST(e AS HUGEINT) AS VARCHAR) AS end_t FROM g
 UNION ALL
 SELECT mpd_id, period_id, as_id, 'gap', CAST(CAST(prev AS HUGEINT) AS VARCHAR), CAST(CAST(s AS HUGEINT) AS VARCHAR) FROM g WHERE prev IS NOT NULL""",
+    "p3_found": """
+WITH k AS (SELECT line_id, raw, string_split(regexp_replace(raw, '"[^"]*"', chr(1), 'g'), ',') AS s FROM conversion_raw WHERE raw IS NOT NULL),
+q AS (SELECT line_id, raw, len(s) AS n, len(list_filter(s, lambda x: regexp_matches(x, '["\\r\\n]') OR (contains(x, chr(1)) AND trim(x, chr(1)) <> ''))) > 0 AS bad FROM k),
+v AS (SELECT line_id, list_transform(regexp_extract_all(',' || raw, ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM q WHERE NOT bad AND n = 8),
+w AS (SELECT line_id, f, regexp_extract(trim(f[7], E' \\t\\r\\n'), '^([0-9]{4}-[0-9]{2}-[0-9]{2})T(([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?|24:00:00(\\.0+)?)(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?$', 1) AS day FROM v),
+j AS (SELECT line_id, f, day, list_transform(f[4:5], lambda x: x = '' OR (json_valid(x) AND NOT regexp_matches(x, ',\\s*\\]\\s*$') AND json_type(CASE WHEN json_valid(x) THEN x ELSE '[]' END) = 'ARRAY'
+  AND len(list_filter(CAST(CASE WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x ELSE '[]' END) = 'ARRAY' THEN x ELSE '[]' END AS JSON[]), lambda y: coalesce(json_type(y), 'NULL') <> 'VARCHAR')) = 0)) AS lists FROM w)
+SELECT line_id, 'quoting' AS reason, '' AS field FROM q WHERE bad
+UNION ALL SELECT line_id, 'column_count', '' FROM q WHERE NOT bad AND n <> 8
+UNION ALL SELECT line_id, 'invalid_value', field FROM (SELECT line_id, unnest([
+  CASE WHEN f[1] = '' THEN 'doc_id' END, CASE WHEN f[2] NOT IN ('dash-js', 'dash-if', 'iso-annex-G', 'iso-annex-H', 'iso-annex-K', 'misc') THEN 'category' END,
+  CASE WHEN trim(f[3], E' \\t\\r\\n') NOT IN ('true', 'false', '1', '0') THEN 'success' END, CASE WHEN NOT lists[1] THEN 'xsd_errors' END, CASE WHEN NOT lists[2] THEN 'json_schema_errors' END,
+  CASE WHEN try_cast(nullif(day, '') AS DATE) IS NULL THEN 'finished_at' END, CASE WHEN f[8] <> '' AND NOT (regexp_full_match(f[8], '[0-9]+') AND try_cast(f[8] AS BIGINT) IS NOT NULL) THEN 'ms_to_json' END]) AS field FROM j) WHERE field IS NOT NULL""",
     "p4_found": """
 WITH RECURSIVE d AS (SELECT DISTINCT doc_id, mpd::JSON AS j FROM mpd_json WHERE mpd IS NOT NULL),
 pi AS (
