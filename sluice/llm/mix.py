@@ -160,7 +160,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     rows = rows.join(F.broadcast(edges), list(LEAF), "left")  # at most one row a leaf
     inside = rows.where(F.col("bucket") == F.col("edge"))
     run = F.sum("tokens").over(W.partitionBy(*LEAF).orderBy("h", "doc_id")) + F.col("at")
-    inside = inside.withColumn("last", (run - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
+    inside = inside.withColumn("last", ((F.col("rest") > 0) & (run - F.col("tokens") / 2 <= F.col("rest"))).cast("int"))
     outside = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("last", F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0)))
     chosen = outside.unionByName(inside).withColumn("copies", (F.col("whole") + F.col("last")).cast("int"))
     return chosen.where(F.col("copies") > 0).select("doc_id", *LEAF, "tokens", "copies")

@@ -31,6 +31,8 @@ def test_mix(spark):
     report = {r.source: r for r in shares(chosen, targets).collect()}
     for s, share, most in (("issue_tracker", 0.5, 1), ("spec_notes", 0.3, 2), ("field_report", 0.2, 4)):
         assert report[s].actual_share == pytest.approx(share, abs=0.06) and report[s].most_repeats <= most
+    caps = {"issue_tracker": 1, "spec_notes": 2, "field_report": 4}
+    assert all(r.copies <= caps[r.source] for r in rows)
     assert report["absent"].tokens == 0 and not {5000, 5002, 5003} & {r.doc_id for r in rows}
     assert sorted((r.doc_id, r.copies) for r in mix(df, targets).collect()) == sorted((r.doc_id, r.copies) for r in rows), "the same seed gives the same choice"
     assert {r.doc_id for r in mix(df, targets, seed=12).collect()} != {r.doc_id for r in rows}
@@ -54,6 +56,12 @@ def test_prefix_is_that_of_the_seeded_order(spark):
     assert rows == {k: v for k, v in want.items() if v}
 
 
+def test_empty_texts_keep_to_the_cap(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else "a b c", "en", "s", "") for i in range(100)], DOCS)
+    targets = spark.createDataFrame([("s", 1.0, 2)], "source string, target_share double, max_repeats int")
+    assert {r.copies for r in mix(docs, targets).collect()} == {2}
+
+
 def test_tokens_and_empty(spark):
     tok = pytest.importorskip("tokenizers")
     from pathlib import Path
