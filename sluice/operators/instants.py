@@ -181,14 +181,14 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
     writer without any zone-less text keeps its declared zone.
     """
     d = declared.select(F.col(writer), F.col("tz").alias("declared"))
-    candidates = declared.where(F.col("tz").isin(zones)).agg(F.array_sort(F.collect_set("tz")).alias("candidates"))  # at most as many as there are zones
+    candidates = sorted(r.tz for r in declared.select("tz").where(F.col("tz").isin(zones)).distinct().collect())  # at most as many as there are zones
     wall = F.col("_local")
     seen = F.unix_micros(F.col(received).cast("timestamp"))
     loose = parsed.where(wall.isNotNull() & F.col("_offset").isNull() & F.col("_zone").isNull() & F.col(received).isNotNull())
     # one row per writer, wall clock and lag in steps of five minutes is enough: the count of violations is additive
     step = 300_000_000
     binned = loose.groupBy(F.col(writer), (wall - wall % step).alias("_wall"), F.round((seen - wall) / step).cast("bigint").alias("_lag")).agg(F.count("*").alias("n"))
-    tried = binned.join(F.broadcast(candidates)).withColumn("zone", F.explode("candidates"))
+    tried = binned.withColumn("zone", F.explode(F.array(*map(F.lit, candidates)).cast("array<string>")))
     lag = F.col("_lag") * step + (F.unix_micros(F.from_utc_timestamp(_ts(F.col("_wall")), F.col("zone"))) - F.col("_wall"))
     bad = (lag < -step) | (lag > F.lit(max_lag_s * 1_000_000 + step))
     scored = tried.groupBy(writer, "zone").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("texts"))
