@@ -188,19 +188,16 @@ def _find(model: Model, key: np.ndarray) -> np.ndarray:
     return got
 
 
-def code_lengths(model: Model, blocks: list[str], at_once: int = 1 << 18) -> np.ndarray:
+def code_lengths(model: Model, blocks: list[str], at_once: int = 1 << 17) -> np.ndarray:
     """Bits of each block (rows) under each language (columns)."""
     out = np.zeros((len(blocks), len(model.languages)))
-    first = 0
-    while first < len(blocks):
-        last, size = first, 0
-        while last < len(blocks) and (last == first or size + len(blocks[last]) < at_once):
-            size += len(blocks[last])
-            last += 1
-        data, spans = _join(blocks[first:last])
-        bits = np.full((len(data), len(model.languages)), 8.0, np.float32)
+    data, spans = _join(blocks)
+    for begin in range(len(_PAD), len(data), at_once):  # stretches of bytes, each read with the contexts before it
+        end = min(begin + at_once, len(data))
+        lead = begin - len(_PAD)
+        bits = np.full((end - lead, len(model.languages)), 8.0, np.float32)
         before = None
-        for k, key in enumerate(_grams(data)):
+        for k, key in enumerate(_grams(data[lead:end])):
             row = _find(model, key)
             own = model.cost[row]
             if k == 0:
@@ -210,9 +207,9 @@ def code_lengths(model: Model, blocks: list[str], at_once: int = 1 << 18) -> np.
                 leave[1:] = model.escape[before[:-1]]
             bits = np.where(np.isnan(own), bits + leave, own)
             before = row
-        total = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits, 0, dtype=np.float64)])
-        out[first:last] = total[spans[:, 1]] - total[spans[:, 0]]
-        first = last
+        total = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits[len(_PAD) :], 0, dtype=np.float64)])
+        a, b = np.searchsorted(spans[:, 1], begin, "right"), np.searchsorted(spans[:, 0], end)  # blocks that reach into it
+        out[a:b] += total[np.minimum(spans[a:b, 1], end) - begin] - total[np.maximum(spans[a:b, 0], begin) - begin]
     return out
 
 

@@ -89,14 +89,36 @@ def cut_passages(coded: np.ndarray, window: int, stride: int) -> list[np.ndarray
     return [coded[a : a + window] for a in starts]
 
 
-def term_matrix(passages: list[np.ndarray], n_terms: int, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows (dense: the vocabulary is that of the items)."""
-    out = np.zeros((len(passages), n_terms + 1), np.float32)
-    lens = [len(p) for p in passages]
-    if passages:
-        np.add.at(out, (np.repeat(np.arange(len(passages)), lens), np.concatenate(passages)), 1.0)  # -1 is the last column
-    out = out[:, :n_terms]
-    return out * idf
+def weighted(table: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The rows of a terms x rank table times their term's weight, and a last row of zeros for unknown words (-1)."""
+    return np.vstack([table * idf[:, None], np.zeros((1, table.shape[1]), table.dtype)]).astype(np.float32)
+
+
+def _square(passages: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(passages), max(map(len, passages))), -1, np.int32)
+    for i, p in enumerate(passages):
+        out[i, : len(p)] = p
+    return out
+
+
+def project(passages: list[np.ndarray], rows: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    """TF-IDF rows of the passages times a table, as sums of the weighted rows of their words (no row is ever dense)."""
+    parts = [rows[_square(passages[a : a + at_once])].sum(1) for a in range(0, len(passages), at_once)]
+    return np.concatenate(parts) if parts else np.zeros((0, rows.shape[1]), np.float32)
+
+
+def gram(passages: list[np.ndarray], rows: np.ndarray, idf: np.ndarray, into: np.ndarray, at_once: int = 1024) -> None:
+    """Add ``A.T @ (A @ G)`` of the passages to ``into`` (terms x rank); ``rows`` is the weighted G."""
+    for a in range(0, len(passages), at_once):
+        words = _square(passages[a : a + at_once])
+        y = rows[words].sum(1)
+        terms = words.ravel()
+        order = np.argsort(terms, kind="stable")
+        order = order[np.searchsorted(terms[order], 0) :]
+        if len(order):
+            kept = terms[order]
+            first = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
+            into[kept[first]] += np.add.reduceat(y[order // words.shape[1]], first) * idf[kept[first], None]
 
 
 def _counts(items: Items):
@@ -118,12 +140,9 @@ def _sketch(items: Items, idf: np.ndarray):
         s = items.settings
         v = len(items.terms)
         test = test_matrix(v, s)
-        share = np.zeros_like(test)
-
-        def add(ps: list[np.ndarray]) -> None:
-            nonlocal share
-            a = term_matrix(ps, v, idf)
-            share += a.T @ (a @ test)
+        rows_of_test = weighted(test, idf)
+        share = np.zeros(test.shape)
+        add = lambda ps: gram(ps, rows_of_test, idf, share)
 
         for batch in batches:
             waiting: list[np.ndarray] = []
@@ -135,7 +154,7 @@ def _sketch(items: Items, idf: np.ndarray):
             if waiting:
                 add(waiting)
         if share.any():
-            rows = pa.FixedSizeListArray.from_arrays(pa.array(share.astype(np.float64).ravel()), share.shape[1]).cast(pa.list_(pa.float64()))
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(share.ravel()), share.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(v), pa.int64()), rows], names=["term", "share"])
 
     return run
@@ -232,8 +251,9 @@ class Checker:
 
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, v = items.settings, len(items.terms)
-        latent = unit(term_matrix(items.passages, v, idf) @ basis)
+        s = items.settings
+        rows = weighted(basis, idf)
+        latent = unit(project(items.passages, rows))
         checker = Checker(items)
         for batch in batches:
             found: list[tuple] = []
@@ -250,7 +270,7 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray):
                     of += [d] * len(kept)
             best: dict[tuple[int, int], float] = {}
             for a in range(0, len(waiting), 512):
-                z = unit(term_matrix(waiting[a : a + 512], v, idf) @ basis)
+                z = unit(project(waiting[a : a + 512], rows))
                 cosine = z @ latent.T
                 r, c = np.nonzero(cosine >= s.least_cosine)
                 for d, k, x in zip((of[a + i] for i in r), items.owner[c], cosine[r, c]):
@@ -291,8 +311,7 @@ def fit_basis(docs: DataFrame, held: Items) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros((v, min(s.rank, v)))
     for r in summed:
         total[r.term] = r.row
-    a = term_matrix(held.passages, v, idf)
-    total += a.T @ (a @ test_matrix(v, s))
+    gram(held.passages, weighted(test_matrix(v, s), idf), idf, total)
     basis, _ = np.linalg.qr(total)
     return idf, basis.astype(np.float32)
 
