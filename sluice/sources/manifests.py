@@ -65,9 +65,9 @@ def with_source_url(files: DataFrame, urls: DataFrame) -> DataFrame:
     return files.join(urls.groupBy("file_name").agg(F.max("url").alias("url")), "file_name", "left")
 
 
-def fix_url(c):
-    """The development host path of the live simulator rewritten to the stable one."""
-    return F.when(c.startswith("https://livesim.dashif.org/livesim-dev/"), F.replace(c, F.lit("https://livesim.dashif.org/livesim-dev/"), F.lit("https://livesim.dashif.org/livesim/"))).otherwise(c)
+def fix_url(c, old: str, new: str):
+    """A URL's leading part rewritten, for hosts whose development path has moved to a stable one."""
+    return F.when(c.startswith(old), F.concat(F.lit(new), F.substring(c, len(old) + 1, 1_000_000))).otherwise(c)
 
 
 def write_json(df: DataFrame, folder: str, column: str = "json", minified: bool = False, gzip: bool = False) -> None:

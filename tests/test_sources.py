@@ -32,8 +32,8 @@ def test_catalogue_and_json_urls(spark, tmp_path):
     assert [r.url for r in read_catalogue(spark, str(tmp_path / "c.csv")).collect()] == ["http://a/x;y.mpd", "http://b/z.mpd"]
     df = spark.createDataFrame([('{"a":[" https://x/a.mpd ",{"b":"HTTP://y/b.MPD?c=1"}],"c":"https:\\/\\/x\\/a.mpd","d":"x.mpd","e":"https://x/m3u8"}',), (None,)], "json string")
     assert sorted(r.url for r in urls_in_json(df).collect()) == ["HTTP://y/b.MPD?c=1", "https://x/a.mpd"]
-    one = spark.createDataFrame([("https://livesim.dashif.org/livesim-dev/a",), ("https://b/livesim-dev/a",)], "u string").select(fix_url(F.col("u")).alias("u"))
-    assert [r.u for r in one.collect()] == ["https://livesim.dashif.org/livesim/a", "https://b/livesim-dev/a"]
+    one = spark.createDataFrame([("https://live.example/dev/a",), ("https://b/dev/a",)], "u string").select(fix_url(F.col("u"), "https://live.example/dev/", "https://live.example/").alias("u"))
+    assert [r.u for r in one.collect()] == ["https://live.example/a", "https://b/dev/a"]
 
 
 def test_writing(spark, tmp_path):
