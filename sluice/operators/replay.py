@@ -2,9 +2,11 @@
 
 * Transactions: deliveries with the same manifest and instant are one document; of a repeated operation the delivery
   received first counts.  A document is complete when its operation numbers run from 0 without a hole.
-* Order: documents apply by instant, operations by number.  Everything is one shuffle by manifest and one sort; manifests
-  are the keys that cannot conflict, so they are replayed in parallel.  The fold reads its sorted partition as a stream and
-  holds the state of one manifest and one document, never a group.
+* Parallel keys: manifests cannot conflict.  Nor can *lanes*, the sets of Periods of one manifest that documents link
+  (``lanes``), so each manifest with more than one in ``HOT`` of all operations is split over its lanes.  A manifest whose
+  Periods are also selected by place, or by another attribute than id, is one lane.
+* Order: documents apply by instant, operations by number.  One shuffle by lane and one sort; the fold reads its sorted
+  partition as a stream and holds the state of one lane and one document, never a group.
 * Atomicity: a document keeps an undo list and is rolled back as a whole when a selector is outside the language or a
   Period, AdaptationSet or Representation step finds nothing.
 * Watermark: ``watermark`` exposes only documents up to an instant; ``hold_gaps`` also stops a manifest at its first
@@ -17,11 +19,11 @@ nothing; an attribute that is no number is a null bandwidth.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.jsontext import loads
@@ -30,6 +32,8 @@ from sluice.operators.instants import known_zones, parse_columns, resolve_column
 from sluice.session import scan, ship, table
 
 LEVELS = ("Period", "AdaptationSet", "Representation")
+#: A manifest with more than one in so many operations is split; there are fewer such manifests than this.
+HOT = 64
 STATE = "mpd_id string, period_id string, as_id int, rep_id string, bandwidth bigint"
 
 
@@ -235,7 +239,7 @@ class Replay:
 
 def _fold(hold_gaps: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mpd, state, instant, ops, held = object(), None, None, [], False
+        mpd, lane, state, instant, ops, held = None, None, None, None, [], False
 
         def commit() -> None:
             nonlocal held, ops
@@ -254,10 +258,10 @@ def _fold(hold_gaps: bool):
 
         for batch in batches:
             for row in batch.to_pylist():
-                if state is None or row["mpd_id"] != mpd:
+                if state is None or row["mpd_id"] != mpd or row["lane"] != lane:
                     commit()
                     yield from out()
-                    mpd, state, instant, held = row["mpd_id"], Replay(), None, False
+                    mpd, lane, state, instant, held = row["mpd_id"], row["lane"], Replay(), None, False
                 if row["kind"] == 0:
                     state.load(row)
                     continue
@@ -281,22 +285,113 @@ def with_instant(ops: DataFrame, packager: DataFrame, text: str = "publish_time"
     return df.withColumnRenamed("_utc", "instant").drop("_tz", "_order", "_local", "_offset", "_zone", "_in", "status")
 
 
-def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark: int | None = None) -> DataFrame:
-    """The Representations after all documents.  ``ops`` has ``instant`` in microseconds (null: left out)."""
+ANY, NO_ID = "\x01any", "\x01none"
+_BY_ID = r"""^/MPD/Period\[\s*@id\s*=\s*(?:"([^"]*)"|'([^']*)')\s*\]"""
+
+
+def touched_periods(sel: Column, attr: Column, name: Column, payload: Column) -> Column:
+    """The ids of the Periods an operation reads or changes; with ``ANY`` where they cannot be told; none where it has no
+    effect on Periods (its selector is void or leads elsewhere)."""
+    id_of = lambda c: F.coalesce(c, F.lit(NO_ID))
+    many = F.transform(F.from_json(payload, "array<struct<id string>>"), lambda x: id_of(x["id"]))
+    added = F.when(~name.eqNullSafe("Period"), F.array().cast("array<string>")).when(F.ltrim(payload).startswith("["), F.coalesce(many, F.array(F.lit(ANY)))).otherwise(F.array(id_of(F.get_json_object(payload, "$.id"))))
+    added = F.coalesce(added, F.array().cast("array<string>"))
+    renames = sel.rlike(_BY_ID + r"/@id$") | (sel.rlike(_BY_ID + "$") & (attr == "@id"))
+    own = F.array(F.concat(F.regexp_extract(sel, _BY_ID, 1), F.regexp_extract(sel, _BY_ID, 2)))
+    return (
+        F.when(sel.rlike(_BY_ID), F.concat(own, added, F.when(F.coalesce(renames, F.lit(False)), F.array(F.lit(ANY))).otherwise(F.array().cast("array<string>"))))
+        .when(sel.rlike(r"^/MPD(?:\[[^\]]*\])?$"), added)
+        .when(sel.rlike(r"^/MPD(?:\[[^\]]*\])?/Period(?![\w.:-])"), F.array(F.lit(ANY)))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of Period ids, sorted by manifest, to the lane of each id."""
+    mpd, up, begun = None, {}, False
+
+    def top(x: str) -> str:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def lanes() -> pa.RecordBatch:
+        whole = ANY in up
+        keys = list(up)
+        return pa.RecordBatch.from_arrays([pa.array([mpd] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(["" if whole else top(k) for k in keys], pa.string())], names=["mpd_id", "key", "lane"])
+
+    for batch in batches:
+        for m, a, b in zip(*(batch.column(c).to_pylist() for c in ("mpd_id", "a", "b"))):
+            if not begun or m != mpd:
+                if begun:
+                    yield lanes()
+                mpd, up, begun = m, {}, True
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            up[top(a)] = top(b)
+    if begun:
+        yield lanes()
+
+
+def lanes(state: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``mpd_id, key, lane`` of all Periods, and ``mpd_id, instant, key`` of the documents that touch any.
+
+    Documents are reduced to distinct pairs of ids before the pairs of a manifest meet in one stream.
+    """
+    touched = ops.select("mpd_id", "instant", F.explode(touched_periods(F.col("sel"), F.col("attr"), F.col("payload_name"), F.col("payload_json"))).alias("key"))
+    docs = touched.groupBy("mpd_id", "instant").agg(F.min("key").alias("a"), F.collect_set("key").alias("keys"))
+    pairs = docs.select("mpd_id", "a", F.explode("keys").alias("b"))
+    first = state.select("mpd_id", F.coalesce("period_id", F.lit(NO_ID)).alias("a"))
+    pairs = pairs.unionByName(first.withColumn("b", F.col("a"))).distinct()
+    found = pairs.repartition("mpd_id").sortWithinPartitions("mpd_id").mapInArrow(_unite, "mpd_id string, key string, lane string")
+    return found, docs.select("mpd_id", "instant", F.col("a").alias("key"))
+
+
+def hot_manifests(ops: DataFrame) -> list[str]:
+    """Fewer than ``HOT`` names, by the count of one column."""
+    total = ops.count()
+    counts = ops.groupBy("mpd_id").agg(F.count("*").alias("n")).where(F.col("mpd_id").isNotNull() & (F.col("n") * HOT > total))
+    return [r.mpd_id for r in counts.collect()]
+
+
+def _split(state: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State and operations with their lane; documents that touch no Period change nothing and are left out."""
+    found, docs = lanes(state, ops)
+    found = found.withColumnsRenamed({"mpd_id": "_m", "key": "_k"})
+    at = F.col("mpd_id").eqNullSafe(F.col("_m"))
+    placed = docs.join(found, at & (F.col("key") == F.col("_k"))).select(F.col("mpd_id").alias("_m"), F.col("instant").alias("_i"), "lane")
+    ops = ops.join(placed, at & (F.col("instant") == F.col("_i"))).drop("_m", "_i")
+    state = state.join(found, at & (F.coalesce("period_id", F.lit(NO_ID)) == F.col("_k"))).drop("_m", "_k")
+    return state, ops
+
+
+def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The Representations after all documents.  ``ops`` has ``instant`` in microseconds (null: left out), or gets it from
+    ``prepare``, which is applied to the rows of hot and of other manifests apart, so that neither reads for the other.
+
+    With ``hold_gaps`` a manifest is one lane, as its first gap stops all of it.
+    """
     ship(state.sparkSession)
     op_cols = ("op_idx", "op", "sel", "pos", "attr", "payload_name", "payload_json", "value")
     state_cols = ("period_id", "as_id", "as_ord", "ord", "rep_id", "bandwidth", "width", "height", "codecs")
-    ops = ops.where(F.col("instant").isNotNull())
-    if watermark is not None:
-        ops = ops.where(F.col("instant") <= watermark)
-    ops = ops.select("mpd_id", F.lit(1).alias("kind"), "instant", *op_cols, "received_at", "patch_id")
+    hot = F.lit(False) if hold_gaps else F.coalesce(F.col("mpd_id").isin(hot_manifests(ops)), F.lit(False))
+
+    def ready_ops(rows: DataFrame) -> DataFrame:
+        rows = (prepare(rows) if prepare else rows).where(F.col("instant").isNotNull())
+        if watermark is not None:
+            rows = rows.where(F.col("instant") <= watermark)
+        return rows.select("mpd_id", F.lit(1).alias("kind"), "instant", *op_cols, "received_at", "patch_id")
+
     state = state.select("mpd_id", *state_cols).distinct().withColumn("kind", F.lit(0))
-    both = ops.unionByName(state, allowMissingColumns=True)
-    order = ("mpd_id", "kind", "instant", "op_idx", "as_ord", "ord", "period_id", "received_at", "patch_id", "rep_id")
-    ready = both.repartition("mpd_id").sortWithinPartitions(*order).drop("received_at", "patch_id", "ord")
+    both = ready_ops(ops.where(~hot)).unionByName(state.where(~hot), allowMissingColumns=True).withColumn("lane", F.lit(""))
+    if not hold_gaps:
+        state, ops = _split(state.where(hot), ready_ops(ops.where(hot)))
+        both = both.unionByName(ops.unionByName(state, allowMissingColumns=True))
+    order = ("mpd_id", "lane", "kind", "instant", "op_idx", "as_ord", "ord", "period_id", "received_at", "patch_id", "rep_id")
+    ready = both.repartition("mpd_id", "lane").sortWithinPartitions(*order).drop("received_at", "patch_id", "ord")
     return ready.mapInArrow(_fold(hold_gaps), STATE)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    ops = with_instant(scan(spark, folder, "patch_op"), table(spark, folder, "packager"))
-    return replay(table(spark, folder, "representation"), ops).distinct()
+    packager = table(spark, folder, "packager")
+    return replay(table(spark, folder, "representation"), scan(spark, folder, "patch_op"), prepare=lambda ops: with_instant(ops, packager)).distinct()

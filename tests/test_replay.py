@@ -3,8 +3,11 @@ import json
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from sluice.functions.selectors import parse_selector
-from sluice.operators.replay import replay, with_instant
+from sluice.operators.replay import ANY, NO_ID, lanes, replay, touched_periods, with_instant
 
 OPS = "mpd_id string, patch_id long, instant long, op_idx int, op string, sel string, pos string, attr string, payload_name string, payload_json string, value string, ws string, received_at timestamp, kind string"
 REP = "mpd_id string, period_id string, as_id int, as_ord int, ord int, rep_id string, bandwidth long, width int, height int, codecs string, kind string"
@@ -73,7 +76,12 @@ def tree(x, level):
     return {"attrs": {k: str(v) for k, v in x.items() if not isinstance(v, list)}, "kids": [tree(k, level + 1) for k in kids]}
 
 
-def test_random_feed(spark):
+@pytest.mark.parametrize(("by_place", "split"), [(True, True), (False, True), (False, False)])
+def test_random_feed(spark, by_place, split, monkeypatch):
+    """With Periods selected by place a manifest is one lane; by id alone its Periods are replayed apart."""
+    import sluice.operators.replay as module
+
+    monkeypatch.setattr(module, "HOT", 64 if split else 1)
     rng = random.Random(5)
     ops, reps, want = [], [], {}
     patch = 0
@@ -92,7 +100,7 @@ def test_random_feed(spark):
         for i in range(120):
             doc = []
             for k in range(rng.choice([1, 2, 3])):
-                period = rng.choice(["/Period[@id='p1']", '/Period[@id="p2"]', "/Period[1]", "/Period[2]", "/Period[@id='new']"])
+                period = rng.choice(["/Period[@id='p1']", '/Period[@id="p2"]', "/Period[@id='new']"] + ["/Period[1]", "/Period[2]"] * by_place)
                 aset = rng.choice(["/AdaptationSet[@id='1']", "/AdaptationSet[2]", "/AdaptationSet[1]", "/AdaptationSet[@id='9']" if rng.random() < 0.2 else "/AdaptationSet[1]"])
                 rep = rng.choice(["/Representation[1]", "/Representation[2]", "/Representation[@id='r1']", "/Representation[@bandwidth='100']", f"/Representation[@id='n{rng.randrange(40)}']"])
                 new = lambda: {"id": f"n{rng.randrange(40)}", "bandwidth": rng.randrange(1000)}
@@ -113,7 +121,7 @@ def test_random_feed(spark):
                 elif kind == "bad" and rng.random() < 0.3:
                     o |= {"sel": rng.choice(["/MPDx/Period[1]", "/MPD/*", "/MPD/Period[0]", "/MPD/Period[1]/text()", "Period", "/MPD/Period[@id='1' and @x='2']", None])}
                 elif kind == "period" and rng.random() < 0.3:
-                    o |= {"sel": "/MPD", "payload_name": "Period", "pos": rng.choice([None, "prepend"]), "payload_json": json.dumps({"id": "new", "AdaptationSet": [{"id": 1, "Representation": [new()]}]})}
+                    o |= {"sel": "/MPD", "payload_name": "Period", "pos": rng.choice([None, "prepend"]), "payload_json": json.dumps({"id": rng.choice(["new", "p1"]), "AdaptationSet": [{"id": 1, "Representation": [new()]}]})}
                 elif kind == "rank":
                     o |= {"sel": o["sel"] + rep, "attr": "@qualityRanking", "payload_name": None, "payload_json": None, "value": "3"}
                 doc.append(o)
@@ -164,3 +172,26 @@ def test_selectors():
     good = ["/MPD", "/MPD/@a", "/MPD/Period", "/MPD/Period[3]/@id", "/MPD/Period[@id='a/b]c']/X", '/MPD/a:B[ @c-d = "e" ]']
     bad = ["", None, "MPD", "/MPDx", "/mpd", "//MPD", "/MPD/", "/MPD/*", "/MPD/..", "/MPD/text()", "/MPD/P[0]", "/MPD/P[1][2]", "/MPD/P[@a='1' or @b='2']", "/MPD/@a/b", "/MPD/P[last()]", "/MPD/P[@a]", "/@a", "/MPD/P[-1]"]
     assert all(parse_selector(s) for s in good) and not any(parse_selector(s) for s in bad)
+
+
+def test_touched_periods(spark):
+    cases = [
+        ("/MPD/Period[@id='a']/AdaptationSet[1]", None, None, None, ["a"]), ('/MPD/Period[ @id = "b" ]', None, None, None, ["b"]), ("/MPD/Period[@id='a']", None, "Period", '{"id":"n"}', ["a", "n"]),
+        ("/MPD/Period[@id='a']", None, "Period", '[{"id":"n"},{}]', ["a", "n", NO_ID]), ("/MPD", None, "Period", '{"id":7}', ["7"]), ("/MPD", None, "Period", "{}", [NO_ID]), ("/MPD", "@id", None, None, []), ("/MPD/@id", None, None, None, []),
+        ("/MPD/Period[1]", None, None, None, [ANY]), ("/MPD/Period", None, None, None, [ANY]), ("/MPD/Period[@start='1']/X", None, None, None, [ANY]), ("/MPD/PeriodX[1]", None, None, None, []), ("/MPDx/Period[1]", None, None, None, []), (None, None, None, None, []),
+        ("/MPD/Period[@id='a']/@id", None, None, None, [ANY, "a"]), ("/MPD/Period[@id='a']", "@id", None, None, [ANY, "a"]), ("/MPD/Period[@id='a']/@start", None, None, None, ["a"]),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, sel string, attr string, name string, payload string")
+    got = {r.i: sorted(r.k) for r in df.select("i", touched_periods(F.col("sel"), F.col("attr"), F.col("name"), F.col("payload")).alias("k")).collect()}
+    for i, c in enumerate(cases):
+        assert got[i] == sorted(c[4]), c
+
+
+def test_lanes(spark):
+    sel = lambda p: f"/MPD/Period[@id='{p}']/AdaptationSet[1]"
+    ops = [op("m", 1, 0, sel("a")), op("m", 1, 1, sel("b")), op("m", 2, 0, sel("c")), op("m", 3, 0, sel("b")), op("m", 3, 1, sel("d")), op("n", 1, 0, sel("x")), op("n", 2, 0, "/MPD/Period[1]"), op("n", 3, 0, "/MPD/@publishTime")]
+    reps = spark.createDataFrame([("m", "e", 1, 1, 1, "r", 1, None, None, None, ""), ("n", "y", 1, 1, 1, "r", 1, None, None, None, "")], REP)
+    found, docs = lanes(reps, spark.createDataFrame(ops, OPS))
+    by = {(r.mpd_id, r.key): r.lane for r in found.collect()}
+    assert by["m", "a"] == by["m", "b"] == by["m", "d"] and len({by["m", k] for k in "ace"}) == 3 and by["n", "x"] == by["n", "y"] == ""
+    assert docs.count() == 5
