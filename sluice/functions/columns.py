@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bind(c: Column) -> Column:
@@ -12,6 +13,12 @@ def bind(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def utc_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a timestamp column; one without zone means UTC, whatever the session's zone."""
+    c = F.col(name).cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(c, F.current_timezone()) if isinstance(df.schema[name].dataType, T.TimestampNTZType) else c)
+
+
 def to_boolean(c: Column) -> Column:
     """Only ``true``, ``false``, ``1`` and ``0``; else null."""
     t = F.trim(c)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.columns import bind
+from sluice.functions.columns import bind, utc_micros
 
 # Month names as written in the texts.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -142,8 +142,8 @@ def resolve_columns(df: DataFrame, zone: str, zones: list[str], local: str = "_l
     The offsets a zone has a day before and a day after bracket any clock change; an offset counts if it leads back to
     the same wall clock.  None does: nonexistent.  Two do: ambiguous.
     """
-    known = F.col(zone).isin(zones)
-    safe = F.when(known, F.col(zone)).otherwise("UTC")
+    df = df.withColumn("_known", bind(F.when(F.col(zone).isin(zones), F.col(zone))))
+    safe = F.coalesce("_known", F.lit("UTC"))
     wall = F.col(local)
     offset_at = lambda micros: F.unix_micros(F.from_utc_timestamp(_ts(micros), safe)) - micros
     df = df.withColumns({"_before": bind(wall - offset_at(wall - _DAY)), "_after": bind(wall - offset_at(wall + _DAY))})
@@ -153,14 +153,14 @@ def resolve_columns(df: DataFrame, zone: str, zones: list[str], local: str = "_l
     status = (
         F.when(wall.isNull(), "invalid")
         .when(F.col(offset).isNotNull(), "ok")
-        .when(F.col(zone).isNull() | ~known, "invalid")
+        .when(F.col("_known").isNull(), "invalid")
         .when(two, "ambiguous")
         .when(F.col("_a") | F.col("_b"), "ok")
         .otherwise("nonexistent")
     )
     utc = F.when(F.col(offset).isNotNull(), wall - F.col(offset).cast("bigint") * 1_000_000).when(F.col("_b"), F.col("_before")).otherwise(F.col("_after"))
     df = df.withColumn("status", bind(status))
-    return df.withColumn("_utc", F.when(F.col("status") == "ok", utc)).drop("_before", "_after", "_a", "_b")
+    return df.withColumn("_utc", F.when(F.col("status") == "ok", utc)).drop("_before", "_after", "_a", "_b", "_known")
 
 
 def format_utc(micros: Column) -> Column:
@@ -183,7 +183,7 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
     d = declared.select(F.col(writer), F.col("tz").alias("declared"))
     candidates = sorted(r.tz for r in declared.select("tz").where(F.col("tz").isin(zones)).distinct().collect())  # at most as many as there are zones
     wall = F.col("_local")
-    seen = F.unix_micros(F.col(received).cast("timestamp"))
+    seen = utc_micros(parsed, received)
     loose = parsed.where(wall.isNotNull() & F.col("_offset").isNull() & F.col("_zone").isNull() & F.col(received).isNotNull())
     # one row per writer, wall clock and lag in steps of five minutes is enough: the count of violations is additive
     step = 300_000_000

@@ -280,7 +280,8 @@ def segment_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps between the events of a user as S elements, read back."""
     from pyspark.sql import Window as W
 
-    e = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    e = table(spark, folder, "events")
+    e = e.select("user_id", "event_id", C.utc_micros(e, "ts").alias("t"))
     e = e.withColumn("d", F.lead("t").over(W.partitionBy("user_id").orderBy("t", "event_id")) - F.col("t")).where(F.col("d") > 0)
     s = F.concat(F.lit("<S"), _attr("t", F.col("t")), _attr("d", F.col("d")), F.lit("/>"))
     docs = e.groupBy("user_id").agg(_join(F.struct("t", "event_id"), s).alias("body"))

@@ -99,3 +99,23 @@ def test_local_times_agree_with_zoneinfo(spark, zone):
         if len(fits) == 1:
             assert got[i][1] == fits.pop().strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     assert timedelta(0) == timedelta(0)
+
+
+def test_session_zone_does_not_matter(spark):
+    from datetime import datetime as at
+
+    from sluice.functions.columns import utc_micros
+
+    rows = [(i, 1, f"2025-06-0{i} 10:00:00", None, at(2025, 6, i, 8, 0, 5), "") for i in range(1, 9)] + [(9, 1, "2025-03-30 02:30:00", None, at(2025, 3, 30), "")]
+    dim = spark.createDataFrame([(1, "Europe/Berlin", "dmy")], "packager_id int, tz string, date_order string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        seen = []
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.createDataFrame(rows, SCHEMA.replace("received_at timestamp", "received_at timestamp_ntz"))
+            got = normalise_instants(df, dim)
+            seen.append((sorted((r.patch_id, r.status, r.utc) for r in got.collect()), sorted(r.m for r in df.select(utc_micros(df, "received_at").alias("m")).collect())))
+        assert seen[0] == seen[1] and seen[0][0][0] == (1, "ok", "2025-06-01T08:00:00.000000Z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
