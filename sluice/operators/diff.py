@@ -90,7 +90,7 @@ def read_copy(xml: str) -> list[tuple[str, str, str, str]]:
 
 def _read(left: str, right: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             both: list[list[dict]] = []
             for copies in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist()):
                 cells = []
