@@ -56,7 +56,7 @@ def dyadic_blocks(start: int, end: int) -> Iterator[tuple[int, int]]:
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mask = (1 << CELL_BITS) - 1
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
         at, cell, off, levels = [], [], [], []
         for i, (a, b) in enumerate(zip(batch.column("start").to_pylist(), batch.column("end").to_pylist())):
             for s, level in dyadic_blocks(int(a), int(b)):
