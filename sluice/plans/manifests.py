@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import columns as C
-from sluice.operators import convert, nodes, patchdoc, relations, roundtrip, xlink
+from sluice.operators import convert, nodes, patchdoc, relations, roundtrip, validate, xlink
 from sluice.schema.types import schema_fields
 from sluice.session import ship, table
 
@@ -316,6 +316,14 @@ def mpd_json_values(spark: SparkSession, folder: str) -> DataFrame:
     return relations.base_urls(relations.typed(d)).groupBy("level").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values"))
 
 
+def json_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON manifests against the core schema: documents and errors by kind of place (positions left out)."""
+    d = table(spark, folder, "mpd_json").select("doc_id", F.col("mpd").alias("json")).distinct()
+    found = validate.validate(d).select("doc_id", F.explode("errors").alias("e"))
+    place = F.regexp_replace("e.path", r"\[\d+\]", "[]")
+    return found.groupBy(place.alias("path"), F.regexp_extract("e.msg", r"^(not an? \w+|\S+)", 1).alias("kind")).agg(F.count("*").alias("errors"), F.count_distinct("doc_id").alias("documents"))
+
+
 def descriptors(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "mpd_json").select("doc_id", F.col("mpd").alias("json")).distinct()
     return relations.descriptors(relations.typed(d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("schemeIdUri").alias("schemes"))
@@ -345,7 +353,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         manifest_representations, bandwidth_by_set, coerce_types, vector_attr, uint64_exact, array_order, escape_roundtrip, normalize_compare, line_differences, ns_registry, ns_violations, selector_predicates, patch_apply, patch_reject,
-        xlink_resolve, category_report, malformed_reject, roundtrip_corpus, child_reorder, facets_errors, duration_parse, segment_runs, json_minify, tag_parts, url_names, mpd_json_values, descriptors, patch_xml, model_fields,
+        xlink_resolve, category_report, malformed_reject, roundtrip_corpus, child_reorder, facets_errors, duration_parse, segment_runs, json_minify, tag_parts, url_names, mpd_json_values, json_validation, descriptors, patch_xml, model_fields,
     )
 }
 
