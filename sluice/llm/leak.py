@@ -9,7 +9,11 @@
 3. *Cosine candidates.*  Passages of documents and of items are projected on the basis; an item is a candidate for a
    document where a cosine of two passages reaches ``least_cosine``.  A passage of documents with fewer than ``least_known``
    words of the item vocabulary is not projected: it cannot hold a run that the check accepts.
-4. *Check.*  A longest-common-subsequence alignment decides exactly: some run of at least ``least_words`` item words must
+4. *Candidates by shared words.*  No cosine above zero is sure for every run the check accepts: what stands beside a run in
+   its passage can weigh more than the run.  So an item is also a candidate where the document shares ``least_exact`` words
+   in a row with it, which every accepted run does (edits part it into so few pieces that one is as long).  Whatever the
+   cosine search misses is found here; ``least_cosine`` bears on no result.
+5. *Check.*  A longest-common-subsequence alignment decides exactly: some run of at least ``least_words`` item words must
    occur in order, with at most one word in ten changed, dropped or added.  The whole document is aligned, so where its
    passages were cut does not matter.
 
@@ -224,6 +228,24 @@ class Checker:
         self.items, self.s = items, s
         self.n = [least_exact(len(c), s.least_words, s.one_in) for c in items.coded]
         self.grams = [np.unique(gram_keys(c, n)) if len(c) >= s.least_words else np.zeros(0, np.int64) for c, n in zip(items.coded, self.n)]
+        self.index = {n: self._index(n) for n in {n for n, g in zip(self.n, self.grams) if len(g)}}
+
+    def _index(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of n words in a row of the items that must share so many, sorted, and the item of each."""
+        own = [k for k, g in enumerate(self.grams) if self.n[k] == n and len(g)]
+        keys = np.concatenate([self.grams[k] for k in own])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.repeat(own, [len(self.grams[k]) for k in own])[order]
+
+    def sharing(self, doc: np.ndarray) -> set[int]:
+        """All items that ``leaks`` can hold of; two unlike stretches with one key only add to them."""
+        found: set[int] = set()
+        for n, (keys, owner) in self.index.items():
+            own = np.unique(gram_keys(doc, n))
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            for a, b in zip(lo[hi > lo], hi[hi > lo]):
+                found.update(owner[a:b].tolist())
+        return found
 
     def leaks(self, k: int, doc: np.ndarray) -> bool:
         item = self.items.coded[k]
@@ -261,8 +283,11 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray):
             texts = batch.column("text").to_pylist()
             docs = {}
             waiting, of = [], []
+            sharing: dict[int, set[int]] = {}
             for d, text in enumerate(texts):
                 coded = code(words_of(text), items.terms)
+                if shared := checker.sharing(coded):
+                    docs[d], sharing[d] = coded, shared
                 kept = [p for p in cut_passages(coded, s.window, s.stride) if np.count_nonzero(p >= 0) >= s.least_known]
                 if kept:
                     docs[d] = coded
@@ -276,9 +301,10 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray):
                 for d, k, x in zip((of[a + i] for i in r), items.owner[c], cosine[r, c]):
                     if x > best.get((d, k), 0.0):
                         best[d, k] = float(x)
-            for (d, k), x in best.items():
+            missed = [(d, k) for d, ks in sharing.items() for k in ks if (d, k) not in best]
+            for d, k in [*best, *missed]:
                 if checker.leaks(k, docs[d]):
-                    found.append((items.ids[k], ids[d], x))
+                    found.append((items.ids[k], ids[d], best.get((d, k))))
             if found:
                 a, b, c = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["item_id", "doc_id", "cosine"])
@@ -317,7 +343,8 @@ def fit_basis(docs: DataFrame, held: Items) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """``item_id, doc_id, cosine`` of every document that holds a passage of an item."""
+    """``item_id, doc_id, cosine`` of every document that holds a passage of an item; the cosine is null where the search by
+    cosine missed the pair."""
     ship(docs.sparkSession)
     held = load_items(items, settings or Settings())
     schema = "item_id long, doc_id long, cosine double"

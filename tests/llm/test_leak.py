@@ -90,3 +90,24 @@ def test_near_misses_and_empty(spark):
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
     assert find_leaks(docs, items, Settings(rank=4)).count() == 0
+
+
+def test_short_runs_beside_other_items(spark):
+    """Runs of the least length, one word changed, between passages of other items, which outweigh them in every window."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(440)]
+    texts = [[rng.choice(vocab) for _ in range(60)] for _ in range(40)]
+    docs, want = [], set()
+    for d in range(300):
+        i, j, k = rng.sample(range(40), 3)
+        a = rng.randrange(60 - 16 + 1)
+        run = texts[i][a : a + 16]
+        run[rng.randrange(1, 15)] = rng.choice(("changedword", rng.choice(texts[j])))
+        loud = rng.choice(texts[j])
+        beside = [w for w in texts[j][:8]] if d % 2 else [loud] * 8
+        docs.append((d, " ".join(beside + run + (texts[k][:8] if d % 2 else [loud] * 8))))
+        want.add((i, d))
+    items = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(texts)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.item_id, r.doc_id) for r in find_leaks(frame, items).collect()} == want
+    assert {(r.item_id, r.doc_id) for r in find_leaks(frame, items, Settings(least_cosine=1.1)).collect()} == want
