@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.functions.jsontext import loads
+from sluice.functions.jsontext import loads, storable
 from sluice.functions.selectors import Step, parse_selector
 from sluice.operators.instants import known_zones, parse_columns, resolve_columns
 from sluice.session import scan, ship, table
@@ -286,24 +286,32 @@ def with_instant(ops: DataFrame, packager: DataFrame, text: str = "publish_time"
 
 
 ANY, NO_ID = "\x01any", "\x01none"
-_BY_ID = r"""^/MPD/Period\[\s*@id\s*=\s*(?:"([^"]*)"|'([^']*)')\s*\]"""
+
+
+def periods_of(sel: str | None, attr: str | None, name: str | None, payload: str | None) -> list[str]:
+    """The ids of the Periods an operation reads or changes, read as ``Replay.apply`` reads it; with ``ANY`` where they cannot
+    be told; none where it has no effect on Periods (its selector is void or leads elsewhere)."""
+    selector = parse_selector(sel)
+    if selector is None or (selector.steps and selector.steps[0].name != LEVELS[0]) or (not selector.steps and (selector.attribute or attr)):
+        return []
+    own = [step.value if step.attribute == "id" and step.value is not None else ANY for step in selector.steps[:1]]
+    if len(selector.steps) > 1:
+        return own
+    attribute = selector.attribute or (attr.removeprefix("@") if attr else None)
+    if attribute:
+        return [*own, ANY] if attribute == "id" else own
+    if name is not None and name != LEVELS[0]:
+        return own
+    try:
+        added = Replay.payload({"payload_json": payload}, 0)
+    except Void:
+        return own
+    return own + [NO_ID if (own_id := node.attrs.get("id")) is None else storable(own_id) for node in added]
 
 
 def touched_periods(sel: Column, attr: Column, name: Column, payload: Column) -> Column:
-    """The ids of the Periods an operation reads or changes; with ``ANY`` where they cannot be told; none where it has no
-    effect on Periods (its selector is void or leads elsewhere)."""
-    id_of = lambda c: F.coalesce(c, F.lit(NO_ID))
-    many = F.transform(F.from_json(payload, "array<struct<id string>>"), lambda x: id_of(x["id"]))
-    added = F.when(~name.eqNullSafe("Period"), F.array().cast("array<string>")).when(F.ltrim(payload).startswith("["), F.coalesce(many, F.array(F.lit(ANY)))).otherwise(F.array(id_of(F.get_json_object(payload, "$.id"))))
-    added = F.coalesce(added, F.array().cast("array<string>"))
-    renames = sel.rlike(_BY_ID + r"/@id$") | (sel.rlike(_BY_ID + "$") & (attr == "@id"))
-    own = F.array(F.concat(F.regexp_extract(sel, _BY_ID, 1), F.regexp_extract(sel, _BY_ID, 2)))
-    return (
-        F.when(sel.rlike(_BY_ID), F.concat(own, added, F.when(F.coalesce(renames, F.lit(False)), F.array(F.lit(ANY))).otherwise(F.array().cast("array<string>"))))
-        .when(sel.rlike(r"^/MPD(?:\[[^\]]*\])?$"), added)
-        .when(sel.rlike(r"^/MPD(?:\[[^\]]*\])?/Period(?![\w.:-])"), F.array(F.lit(ANY)))
-        .otherwise(F.array().cast("array<string>"))
-    )
+    """``periods_of`` as a column; only rows of hot manifests are read so."""
+    return F.udf(periods_of, "array<string>", useArrow=True)(sel, attr, name, payload)
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

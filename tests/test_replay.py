@@ -195,3 +195,29 @@ def test_lanes(spark):
     by = {(r.mpd_id, r.key): r.lane for r in found.collect()}
     assert by["m", "a"] == by["m", "b"] == by["m", "d"] and len({by["m", k] for k in "ace"}) == 3 and by["n", "x"] == by["n", "y"] == ""
     assert docs.count() == 5
+
+
+def test_split_reads_operations_as_the_replay_does(spark, monkeypatch):
+    """Null payload names, attributes without @, members that come twice and numbers as written: the lanes change nothing."""
+    import sluice.operators.replay as module
+
+    rep = lambda r: f'"AdaptationSet":{{"id":1,"Representation":{{"id":"{r}","bandwidth":1}}}}'
+    inside = lambda p, r: f"/MPD/Period[@id='{p}']/AdaptationSet[1]/Representation[@id='{r}']/@bandwidth"
+    feeds = {
+        "null name": [op("m", 1, 0, "/MPD", op="add", payload_json=f'{{"id":"q",{rep("k")}}}'), op("m", 2, 0, inside("q", "k"), value="5")],
+        "null name replaces": [op("m", 1, 0, "/MPD/Period[@id='a']", payload_json=f'{{"id":"q",{rep("k")}}}'), op("m", 2, 0, inside("q", "k"), value="5")],
+        "attr": [op("m", 1, 0, "/MPD/Period[@id='a']", attr="id", value="q"), op("m", 2, 0, inside("q", "ra"), value="5")],
+        "twice": [op("m", 1, 0, "/MPD", op="add", payload_name="Period", payload_json=f'{{"id":"b","id":"q",{rep("k")}}}'), op("m", 2, 0, inside("q", "k"), value="5")],
+        "number": [op("m", 1, 0, "/MPD", op="add", payload_name="Period", payload_json=f'[{{"id":1e3,{rep("k")}}}]'), op("m", 2, 0, inside("1e3", "k"), value="5")],
+    }
+    ops = [(m, *o[1:]) for m, os in feeds.items() for o in os]
+    reps = [(m, p, 1, 1, 1, f"r{p}", 1, None, None, None, "") for m in feeds for p in "ab"]
+    reps, ops = spark.createDataFrame(reps, REP), spark.createDataFrame(ops, OPS)
+
+    def rows(hot):
+        monkeypatch.setattr(module, "HOT", hot)
+        return {m: sorted((r.period_id, r.rep_id, r.bandwidth) for r in got if r.mpd_id == m) for got in [replay(reps, ops).collect()] for m in feeds}
+
+    whole = rows(1)
+    assert whole["null name"] == [("a", "ra", 1), ("b", "rb", 1), ("q", "k", 5)] and whole["attr"] == [("b", "rb", 1), ("q", "ra", 5)] and whole["number"][0] == ("1e3", "k", 5)
+    assert rows(64) == whole
