@@ -2,7 +2,8 @@
 
 Both copies of a row are read into cells ``path, field, value`` (an element itself is the cell with the empty field).
 A checksum matrix of key bucket by field holds, for each copy, the sum of a 128-bit hash of its cells (two 64-bit hashes
-added as decimals, one copy with a minus); equal copies cancel to zero.  Only the buckets that do not cancel are read
+added as decimals, one copy with a minus); equal copies of one row cancel to zero, those of unlike rows of one document
+never.  Only the buckets that do not cancel are read
 again, and only their unequal fields meet in the comparison.  The matrix has at most ``buckets`` rows a field, and its sums
 are made map-side, so no key is ever gathered.
 
@@ -109,13 +110,13 @@ def _read(left: str, right: str):
 def compare_copies(df: DataFrame, left: str, right: str, buckets: int = 1 << 16) -> DataFrame:
     """``doc_id, path, field, kind`` of all differences between the copies ``left`` and ``right``."""
     ship(df.sparkSession)
-    keyed = df.select("doc_id", left, right, F.xxhash64(left, right).alias("pair"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    keyed = df.select("doc_id", left, right, F.xxhash64(left, F.col(left).isNull(), right, F.col(right).isNull()).alias("pair"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     keyed = keyed.where(F.col(left).isNotNull() | F.col(right).isNotNull())
 
     def cells(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(_read(left, right), CELLS).select("doc_id", "pair", "bucket", F.explode("cells").alias("c")).select("doc_id", "pair", "bucket", "c.*")
 
-    wide = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "path", "field", "value").cast("decimal(38,0)") * F.col("side")
+    wide = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "pair", "path", "field", "value").cast("decimal(38,0)") * F.col("side")
     matrix = cells(keyed).groupBy("bucket", "field").agg(F.sum(wide(0)).alias("h0"), F.sum(wide(1)).alias("h1"), F.sum("side").alias("n"))
     unequal = matrix.where((F.col("h0") != 0) | (F.col("h1") != 0) | (F.col("n") != 0)).select("bucket", "field")
 

@@ -23,6 +23,13 @@ def test_missing_copies(spark):
     assert found(spark, []) == []
 
 
+def test_unlike_rows_of_one_document(spark):
+    a, b = '<MPD type="static"><Period id="1"/></MPD>', '<MPD type="dynamic"><Period id="2"/></MPD>'
+    both = [("MPD", "type", "differs")] + [(f"MPD/Period[{p}]", "", f"only_{side}") for p in (1, 2) for side in ("original", "regenerated")]
+    for buckets in (1, 1 << 16):
+        assert found(spark, [("d", a, b), ("d", b, a), ("e", a, None), ("e", None, a)], buckets=buckets) == sorted([("d", *x) for x in both] + [("e", "MPD", "", "only_original"), ("e", "MPD", "", "only_regenerated")])
+
+
 def test_long_and_repeated(spark):
     reps = "".join(f'<Representation id="{i}" bandwidth="{i}"/>' for i in range(20_000))
     x = f'<MPD><Period id="p"><AdaptationSet id="1">{reps}</AdaptationSet></Period></MPD>'
