@@ -8,12 +8,13 @@ estimator chose for the writer.
 Zone estimation (``estimate_zones``): each zone-less local time is aligned with the time the record was received.  For a
 candidate zone (a whole offset history, so summer time is covered) a *violation* is a local time that would lie after
 its receipt, or longer before it than ``max_lag``.  The candidate with fewest violations wins; ties go to the declared
-zone, then to the name.  A declared zone is evidence too: it is overruled only where at least ``least_texts`` texts are
+zone, then to the least lag, to a zone that another writer declares, and to the name.  A writer that declares no usable zone
+is tried against one zone of every offset history that is known, any other against the declared zones.  A declared zone is evidence too: it is overruled only where at least ``least_texts`` texts are
 seen and the best candidate mends more than half of them.  Violations are counted by one hash aggregate with map-side combine, so no key is ever gathered.
 
 Defined results: null text gives no row; empty, partial or impossible texts give ``invalid``; a local time that fits two
 instants gives ``ambiguous``, one that a clock change skips ``nonexistent``.  Repeated rows give one row.  A zone-less
-text of a writer without any usable zone is ``invalid``.
+text of a writer whose zone is neither usable nor estimated (no receipt times) is ``invalid``.
 """
 
 from __future__ import annotations
@@ -55,6 +56,15 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(z for z in names if "/" in z or z in ("UTC", "GMT"))
 
 
+def distinct_histories(spark: SparkSession, zones: list[str], first: list[str]) -> list[str]:
+    """One zone of each offset history, from ``first`` where it has one."""
+    jvm = spark.sparkContext._jvm
+    by = jvm.java.util.LinkedHashMap()
+    for z in [*first, *zones]:
+        by.putIfAbsent(jvm.java.time.ZoneId.of(z).getRules(), z)
+    return sorted({*first, *by.values()})
+
+
 def _record(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, record in reversed(SPELLINGS):
@@ -177,29 +187,33 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
     """Choose the zone of each writer: ``writer, declared, zone, texts, violations``.
 
     ``parsed`` has ``_local``, ``_offset``, ``_zone`` and the receipt time; ``declared`` has one row per writer with
-    ``writer`` and ``tz`` (null where nothing is declared).  The candidates are the zones that any writer declares.  A
-    writer without any zone-less text keeps its declared zone.
+    ``writer`` and ``tz`` (null where nothing is declared).  The candidates are the zones that any writer declares, and for
+    a writer without a usable one all known offset histories.  A writer without any zone-less text keeps its declared zone.
     """
     d = declared.select(F.col(writer), F.col("tz").alias("declared"))
     candidates = sorted(r.tz for r in declared.select("tz").where(F.col("tz").isin(zones)).distinct().collect())  # at most as many as there are zones
+    usable = F.coalesce(F.col("declared").isin(zones), F.lit(False))
+    every = distinct_histories(parsed.sparkSession, zones, candidates) if d.where(~usable).limit(1).count() else candidates
     wall = F.col("_local")
     seen = utc_micros(parsed, received)
     loose = parsed.where(wall.isNotNull() & F.col("_offset").isNull() & F.col("_zone").isNull() & F.col(received).isNotNull())
     # one row per writer, wall clock and lag in steps of five minutes is enough: the count of violations is additive
     step = 300_000_000
     binned = loose.groupBy(F.col(writer), (wall - wall % step).alias("_wall"), F.round((seen - wall) / step).cast("bigint").alias("_lag")).agg(F.count("*").alias("n"))
-    tried = binned.withColumn("zone", F.explode(F.array(*map(F.lit, candidates)).cast("array<string>")))
+    few, all_ = (F.array(*map(F.lit, c)).cast("array<string>") for c in (candidates, every))
+    undeclared = F.broadcast(d.where(~usable).select(writer, F.lit(True).alias("_all")).distinct())
+    tried = binned.join(undeclared, writer, "left").withColumn("zone", F.explode(F.when(F.col("_all"), all_).otherwise(few))).drop("_all")
     lag = F.col("_lag") * step + (F.unix_micros(F.from_utc_timestamp(_ts(F.col("_wall")), F.col("zone"))) - F.col("_wall"))
     bad = (lag < -step) | (lag > F.lit(max_lag_s * 1_000_000 + step))
-    scored = tried.groupBy(writer, "zone").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("texts"))
+    scored = tried.groupBy(writer, "zone").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("texts"), F.sum(F.abs(lag) * F.col("n")).alias("_lags"))
     scored = scored.join(F.broadcast(d), writer, "left")
     best = scored.groupBy(writer, "declared").agg(
-        F.min(F.struct("violations", (~F.col("zone").eqNullSafe(F.col("declared"))).alias("_o"), "zone", "texts")).alias("b"),
+        F.min(F.struct("violations", (~F.col("zone").eqNullSafe(F.col("declared"))).alias("_o"), "_lags", (~F.col("zone").isin(candidates)).alias("_new"), "zone", "texts")).alias("b"),
         F.max(F.when(F.col("zone") == F.col("declared"), F.col("violations"))).alias("declared_violations"),
     )
     chosen = best.select(writer, F.col("b.zone").alias("zone"), F.col("b.texts").alias("texts"), F.col("b.violations").alias("violations"), "declared_violations")
     contradicted = (F.col("texts") >= least_texts) & (F.col("declared_violations") - F.col("violations") > F.col("texts") / 2)
-    zone = F.when(F.col("declared").isNull() | contradicted, F.coalesce("zone", "declared")).otherwise(F.col("declared"))
+    zone = F.when(~usable | contradicted, F.coalesce("zone", "declared")).otherwise(F.col("declared"))
     return d.join(chosen, writer, "left").withColumn("zone", zone)
 
 
@@ -233,12 +247,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return got.where(~settled).select("patch_id", "field", "status", "utc").distinct()
 
 
+def writer_zones(ops: DataFrame, packager: DataFrame) -> DataFrame:
+    """The zones that ``estimate_zones`` chooses from all deliveries, as ``normalise_instants`` does."""
+    rows = ops.where(F.col("publish_time").isNotNull()).groupBy("patch_id", "packager_id", F.col("publish_time").alias("text")).agg(F.min("received_at").alias("received_at"))
+    dim = packager.groupBy("packager_id").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
+    parsed = parse_columns(rows.join(F.broadcast(dim), "packager_id", "left"), "text", "date_order")
+    return estimate_zones(parsed, "packager_id", "received_at", dim, known_zones(ops.sparkSession))
+
+
 def p1_zones(spark: SparkSession, folder: str) -> DataFrame:
     """What the estimator makes of each writer, beside what is declared."""
     from sluice.session import table
 
-    ops, packager = table(spark, folder, "patch_op"), table(spark, folder, "packager")
-    rows = ops.where(F.col("publish_time").isNotNull()).groupBy("patch_id", "packager_id", F.col("publish_time").alias("text")).agg(F.min("received_at").alias("received_at"))
-    dim = packager.groupBy("packager_id").agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
-    parsed = parse_columns(rows.join(F.broadcast(dim), "packager_id", "left"), "text", "date_order")
-    return estimate_zones(parsed, "packager_id", "received_at", dim, known_zones(spark))
+    return writer_zones(table(spark, folder, "patch_op"), table(spark, folder, "packager"))

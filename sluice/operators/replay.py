@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.jsontext import loads, storable
 from sluice.functions.selectors import Step, parse_selector
-from sluice.operators.instants import known_zones, parse_columns, resolve_columns
-from sluice.session import scan, ship, table
+from sluice.operators.instants import known_zones, parse_columns, resolve_columns, writer_zones
+from sluice.session import cut, scan, ship, table
 
 LEVELS = ("Period", "AdaptationSet", "Representation")
 #: A manifest with more than one in so many operations is split; there are fewer such manifests than this.
@@ -276,10 +276,13 @@ def _fold(hold_gaps: bool):
     return run
 
 
-def with_instant(ops: DataFrame, packager: DataFrame, text: str = "publish_time", writer: str = "packager_id") -> DataFrame:
-    """Add ``instant`` (microseconds) by the rules of problem 1; null where the text is not one instant."""
+def with_instant(ops: DataFrame, packager: DataFrame, text: str = "publish_time", writer: str = "packager_id", chosen: DataFrame | None = None) -> DataFrame:
+    """Add ``instant`` (microseconds) by the rules of problem 1; null where the text is not one instant.  ``chosen`` has the
+    zones estimated for the writers (``writer, zone``); without it the declared ones hold."""
     zones = known_zones(ops.sparkSession)
     dim = packager.groupBy(writer).agg(F.min("tz").alias("_tz"), F.min("date_order").alias("_order"))
+    if chosen is not None:
+        dim = dim.drop("_tz").join(F.broadcast(chosen.select(writer, F.col("zone").alias("_tz"))), writer, "left")
     df = parse_columns(ops.join(F.broadcast(dim), writer, "left"), text, "_order")
     df = resolve_columns(df.withColumn("_in", F.coalesce("_zone", "_tz")), "_in", zones)
     return df.withColumnRenamed("_utc", "instant").drop("_tz", "_order", "_local", "_offset", "_zone", "_in", "status")
@@ -402,4 +405,6 @@ def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     packager = table(spark, folder, "packager")
-    return replay(table(spark, folder, "representation"), scan(spark, folder, "patch_op"), prepare=lambda ops: with_instant(ops, packager)).distinct()
+    ops = scan(spark, folder, "patch_op")
+    chosen = cut(writer_zones(ops, packager).select("packager_id", "zone"))  # one row a writer, read by several branches
+    return replay(table(spark, folder, "representation"), ops, prepare=lambda rows: with_instant(rows, packager, chosen=chosen)).distinct()

@@ -119,3 +119,26 @@ def test_session_zone_does_not_matter(spark):
         assert seen[0] == seen[1] and seen[0][0][0] == (1, "ok", "2025-06-01T08:00:00.000000Z")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("tz", [None, "Not/AZone"])
+def test_zones_that_nobody_declares(spark, tmp_path, tz):
+    """Without any usable declared zone the texts still get an instant, and the replay applies their documents."""
+    from sluice.operators.instants import p1_found, p1_zones
+    from sluice.operators.replay import p6_found
+
+    rows, want = [], set()
+    for w, z in ((1, "Asia/Kathmandu"), (2, "America/St_Johns"), (3, "Europe/Berlin")):
+        for k in range(12):
+            local = datetime(2025, k + 1, 11, 9, 7, k)
+            utc = local.replace(tzinfo=ZoneInfo(z)).astimezone(ZoneInfo("UTC")).replace(tzinfo=None)
+            n = 100 * w + k
+            rows.append((f"m{w}", n, w, local.strftime("%Y-%m-%dT%H:%M:%S"), None, 0, "replace", "/MPD/Period[1]/AdaptationSet[1]/Representation[1]/@bandwidth", None, None, None, None, str(n), None, utc.replace(second=30)))
+            want.add((n, "publish_time", "ok", utc.strftime("%Y-%m-%dT%H:%M:%S.000000Z")))
+    ops = "mpd_id string, patch_id long, packager_id int, publish_time string, original_publish_time string, op_idx int, op string, sel string, pos string, attr string, payload_name string, payload_json string, value string, ws string, received_at timestamp_ntz"
+    reps = "mpd_id string, period_id string, as_id int, as_ord int, ord int, rep_id string, bandwidth long, width int, height int, codecs string"
+    for name, data, schema in (("patch_op", rows, ops), ("packager", [(w, "x", tz if w < 3 else "Europe/Berlin", "dmy") for w in (1, 2, 3)], "packager_id int, packager_name string, tz string, date_order string"), ("representation", [(f"m{w}", "p", 1, 1, 1, "r", 1, None, None, None) for w in (1, 2, 3)], reps)):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert {tuple(r) for r in p1_found(spark, str(tmp_path)).collect()} == want
+    assert {(r.packager_id, r.violations) for r in p1_zones(spark, str(tmp_path)).collect()} == {(1, 0), (2, 0), (3, 0)}
+    assert {(r.mpd_id, r.bandwidth) for r in p6_found(spark, str(tmp_path)).collect()} == {("m1", 111), ("m2", 211), ("m3", 311)}
