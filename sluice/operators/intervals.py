@@ -11,8 +11,8 @@
 4. Runs of different cells are stitched with the carry of their cells (one row a cell), so that only rows of cells, never
    all rows of a key, meet in one window.
 
-``timeline_intervals`` reads the S elements of segment timelines and already joins the intervals of one copy (snap), so
-the blocks follow the number of stretches, not of rows.
+``row_intervals`` reads the S elements of segment timelines, one interval a row; ``p2_found`` gives these to the blocks as
+they are.  ``timeline_intervals`` joins the touching ones of each copy (snap), for those who want a copy's stretches.
 
 Defined results: a row with null or zero d covers nothing and ends where it starts; null r is 0; r below -1 covers
 nothing; r = -1 without a later t covers nothing; a first row with null t starts at 0; exact duplicates change nothing;
@@ -117,13 +117,14 @@ def _runs(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def continuous(intervals: DataFrame) -> DataFrame:
     """``key, kind, start, end``: each longest covered stretch (``period``) and each hole between two (``gap``).
 
-    ``intervals`` has ``key`` (a struct), ``start`` and ``end``; rows with a null or start >= end are ignored.
+    ``intervals`` has ``key`` (a struct), ``start`` and ``end``; rows with a null or start >= end are ignored.  Starts may be
+    negative.
     """
     ship(intervals.sparkSession)
     kind = intervals.schema["key"].dataType
     wide = T.DecimalType(38, 0)
     field = T.StructField
-    rows = intervals.select("key", F.col("start").cast(wide).alias("start"), F.col("end").cast(wide).alias("end")).where((F.col("start") < F.col("end")) & (F.col("start") >= 0))
+    rows = intervals.select("key", F.col("start").cast(wide).alias("start"), F.col("end").cast(wide).alias("end")).where(F.col("start") < F.col("end"))
     blocks = rows.mapInArrow(_to_blocks, T.StructType([field("key", kind), field("cell", wide), field("off", T.IntegerType()), field("level", T.IntegerType())]))
     sorted_blocks = blocks.repartition("key", "cell").sortWithinPartitions("key", "cell", "off", F.desc("level"))
     runs = cut(sorted_blocks.mapInArrow(_to_runs, T.StructType([field("key", kind), field("cell", wide), field("start", wide), field("end", wide)])))
@@ -147,8 +148,8 @@ def continuous(intervals: DataFrame) -> DataFrame:
     return closed.select("key", F.explode(both).alias("x")).select("key", "x.kind", "x.start", "x.end")
 
 
-def timeline_intervals(s: DataFrame) -> DataFrame:
-    """``key, start, end``: the stretches each copy of a SegmentTimeline covers, touching ones joined."""
+def row_intervals(s: DataFrame) -> DataFrame:
+    """``key, snap, start, end``: what each row of each copy of a SegmentTimeline covers."""
     wide = "decimal(38,0)"
     key = F.struct(*TIMELINE).alias("key")
     rows = s.select(key, "snap", "ord", F.col("t").cast(wide).alias("t"), F.col("d").cast(wide).alias("d"), F.coalesce("r", F.lit(0)).alias("r"))
@@ -162,7 +163,12 @@ def timeline_intervals(s: DataFrame) -> DataFrame:
     rows = rows.withColumns({"anchor": F.coalesce(F.last("t", True).over(upto), zero), "anchor_run": F.coalesce(F.last(F.when(F.col("t").isNotNull(), F.col("run")), True).over(upto), zero)})
     rows = rows.withColumn("start", (F.col("anchor") + F.col("run") - F.col("anchor_run")).cast(wide))
     end = F.when((F.col("r") == -1) & (F.col("d") > 0), F.coalesce("next_t", "start")).otherwise(F.col("start") + F.col("len"))
-    rows = rows.select("key", "snap", "start", end.cast(wide).alias("end")).where(F.col("start") < F.col("end"))
+    return rows.select("key", "snap", "start", end.cast(wide).alias("end")).where(F.col("start") < F.col("end"))
+
+
+def timeline_intervals(s: DataFrame) -> DataFrame:
+    """``key, start, end``: the stretches each copy of a SegmentTimeline covers, touching ones joined."""
+    rows = row_intervals(s)
     by_start = W.partitionBy("key", "snap").orderBy("start", "end")
     rows = rows.withColumn("prev", F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1)))
     new = F.when(F.col("prev").isNull() | (F.col("start") > F.col("prev")), 1).otherwise(0)
@@ -171,5 +177,5 @@ def timeline_intervals(s: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    out = continuous(timeline_intervals(table(spark, folder, "segment_timeline_s")))
+    out = continuous(row_intervals(table(spark, folder, "segment_timeline_s")))
     return out.select(*[F.col(f"key.{c}").alias(c) for c in TIMELINE], "kind", F.col("start").cast("string").alias("start_t"), F.col("end").cast("string").alias("end_t"))

@@ -72,3 +72,21 @@ def test_rows_of_timelines(spark):
 
 def test_empty(spark):
     assert continuous(timeline_intervals(spark.createDataFrame([], S))).count() == 0
+
+
+def test_negative_starts(spark):
+    rows = [(("a", "p", 1), -5, 3), (("a", "p", 1), -(2**25) - 1, -(2**24)), (("a", "p", 1), 3, 4), (("b", "p", 1), -1, 1), (("b", "p", 1), -9, -2)]
+    df = spark.createDataFrame([(k, Decimal(a), Decimal(b)) for k, a, b in rows], SCHEMA)
+    assert {(tuple(r.key), r.kind, int(r.start), int(r.end)) for r in continuous(df).collect()} == brute(rows)
+
+
+def test_rows_reach_the_blocks_unjoined(spark, tmp_path, monkeypatch):
+    import sluice.operators.intervals as module
+
+    given, whole = [], module.continuous
+    monkeypatch.setattr(module, "continuous", lambda df: given.append(df) or whole(df))
+    rows = [("m", "p", 1, 1, 1, k, Decimal(t), None, Decimal(d), 0, None, None, "x") for k, (t, d) in enumerate(((0, 10), (5, 2), (8, 10), (18, 2), (30, 1)))]
+    spark.createDataFrame(rows, S).write.parquet(str(tmp_path / "segment_timeline_s.parquet"))
+    got = sorted((r.kind, r.start_t, r.end_t) for r in module.p2_found(spark, str(tmp_path)).collect())
+    assert got == [("gap", "20", "30"), ("period", "0", "20"), ("period", "30", "31")]
+    assert sorted((int(r.start), int(r.end)) for r in given[0].collect()) == [(0, 10), (5, 7), (8, 18), (18, 20), (30, 31)]
