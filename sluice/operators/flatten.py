@@ -13,13 +13,15 @@ value; repeated documents repeat their rows (queries take distinct rows).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.jsontext import loads, scalar_text, storable
-from sluice.session import scan, ship
+from sluice.session import ensure_checkpoint_dir, scan, ship
 
 ROWS = "doc_id string, tag string, path string, parent_path string, value string"
 
@@ -97,3 +99,12 @@ def typed(rows: DataFrame, tag: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = flatten(scan(spark, folder, "mpd_json", "doc_id", "mpd"), tags=("program", "ns", "value"))
     return rows.select("doc_id", F.col("tag").alias("kind"), "path", "parent_path", "value").distinct()
+
+
+def p4_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """All flat tables of the documents, written by tag into the checkpoint folder and read back as typed tables."""
+    at = f"{ensure_checkpoint_dir(spark)}/p4_tables-{uuid4()}"
+    write_tables(flatten(scan(spark, folder, "mpd_json", "doc_id", "mpd")).distinct(), at)
+    rows = spark.read.schema(ROWS).parquet(at)
+    parts = [typed(rows, tag).withColumn("table", F.lit(tag)) for tag in ("program", "ns", "value", "object", "reject")]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

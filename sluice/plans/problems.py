@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from sluice.operators.diff import p5_found
-from sluice.operators.flatten import p4_found
+from sluice.operators.flatten import p4_found, p4_tables
 from sluice.operators.instants import p1_found, p1_zones
 from sluice.operators.intervals import p2_found
 from sluice.operators.rejects import p3_found, p3_loaded
 from sluice.operators.replay import p6_found
 
-QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
     "p2_found": """

@@ -45,3 +45,16 @@ def test_stack_reader_agrees(text):
 def test_stack_reader_refuses(text):
     with pytest.raises(ValueError):
         _deep(text)
+
+
+def test_registered_query_writes_and_reads_typed_tables(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = [("d", '{"ProgramInformation":{"Title":"t"},"$ns":{"urn:x":"x"},"b":{"$value":1}}')] * 2 + [("bad", "{")]
+    spark.createDataFrame(docs, "doc_id string, mpd string").write.parquet(str(tmp_path / "mpd_json.parquet"))
+    got = entry.queries()["p4_tables"](spark, str(tmp_path)).collect()
+    by = {t: [r for r in got if r.table == t] for t in ("program", "ns", "value", "object", "reject")}
+    assert [(r.path, r.title) for r in by["program"]] == [("ProgramInformation", "t")] and [(r.path, r.value, r.parent_path) for r in by["value"]] == [("b", "1", "")]
+    assert [(len(by[t])) for t in ("ns", "reject")] == [1, 1] and by["ns"][0].prefix == "x" and by["ns"][0].uri == "urn:x" and by["reject"][0].doc_id == "bad" and by["object"]
+    spark.createDataFrame([], "doc_id string, mpd string").write.parquet(str(tmp_path / "e" / "mpd_json.parquet"))
+    assert entry.queries()["p4_tables"](spark, str(tmp_path / "e")).count() == 0
