@@ -132,9 +132,8 @@ def line_differences(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.line_differences(left, right)
 
 
-def _nation_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """A manifest a nation: its region's namespace on its own prefix; nations of odd key also use their region's name as prefix."""
-    n = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+def _ns_docs(n: DataFrame) -> DataFrame:
+    """A manifest a row of ``n_nationkey, n_regionkey``: the region's namespace on prefixes chosen by the key."""
     uri = F.concat(F.lit("urn:r:"), (F.col("n_regionkey") % 2).cast("string"))
     xml = F.concat(
         F.lit(f'<MPD xmlns="{NS}" xmlns:p'), (F.col("n_nationkey") % 4).cast("string"), F.lit('="'), uri, F.lit('" p'), (F.col("n_nationkey") % 4).cast("string"), F.lit(':k="1"><Period xmlns:p'),
@@ -143,13 +142,30 @@ def _nation_docs(spark: SparkSession, folder: str) -> DataFrame:
     return n.select(F.col("n_nationkey").cast("string").alias("doc_id"), xml.alias("xml"))
 
 
-def ns_registry(spark: SparkSession, folder: str) -> DataFrame:
-    got = nodes.namespace_registry(nodes.nodes(_nation_docs(spark, folder)))
+def _nation_docs(spark: SparkSession, folder: str) -> DataFrame:
+    return _ns_docs(table(spark, folder, "nation").select("n_nationkey", "n_regionkey"))
+
+
+def _customer_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over a table that grows."""
+    return _ns_docs(table(spark, folder, "customer").select(F.col("c_custkey").alias("n_nationkey"), F.col("c_nationkey").alias("n_regionkey")))
+
+
+def ns_registry(spark: SparkSession, folder: str, docs=_nation_docs) -> DataFrame:
+    got = nodes.namespace_registry(nodes.nodes(docs(spark, folder)))
     return got.select("doc_id", "ns_uri", "prefix", F.array_join("attributes", ",").alias("attributes"))
 
 
-def ns_violations(spark: SparkSession, folder: str) -> DataFrame:
-    return nodes.namespace_violations(nodes.nodes(_nation_docs(spark, folder)))
+def ns_violations(spark: SparkSession, folder: str, docs=_nation_docs) -> DataFrame:
+    return nodes.namespace_violations(nodes.nodes(docs(spark, folder)))
+
+
+def ns_registry_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return ns_registry(spark, folder, _customer_docs)
+
+
+def ns_violations_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return ns_violations(spark, folder, _customer_docs)
 
 
 def selector_predicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,7 +368,7 @@ def model_fields(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        manifest_representations, bandwidth_by_set, coerce_types, vector_attr, uint64_exact, array_order, escape_roundtrip, normalize_compare, line_differences, ns_registry, ns_violations, selector_predicates, patch_apply, patch_reject,
+        manifest_representations, bandwidth_by_set, coerce_types, vector_attr, uint64_exact, array_order, escape_roundtrip, normalize_compare, line_differences, ns_registry, ns_violations, ns_registry_customers, ns_violations_customers, selector_predicates, patch_apply, patch_reject,
         xlink_resolve, category_report, malformed_reject, roundtrip_corpus, child_reorder, facets_errors, duration_parse, segment_runs, json_minify, tag_parts, url_names, mpd_json_values, json_validation, descriptors, patch_xml, model_fields,
     )
 }
@@ -382,6 +398,11 @@ SQL = {
       UNION SELECT n_nationkey, 'p' || (n_nationkey % 3), 'urn:r:' || (n_regionkey % 2) FROM nation UNION SELECT n_nationkey, 'p0', 'urn:z' FROM nation)
       SELECT CAST(k AS VARCHAR) AS doc_id, 'prefix_rebinding' AS rule, p AS name FROM b GROUP BY k, p HAVING count(DISTINCT u) > 1
       UNION ALL SELECT CAST(k AS VARCHAR), 'uri_aliasing', u FROM b GROUP BY k, u HAVING count(DISTINCT p) > 1""",
+    "ns_registry_customers": """SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'urn:r:' || (c_nationkey % 2) AS ns_uri, 'p' || (c_custkey % 4) AS prefix, 'a,k' AS attributes FROM customer""",
+    "ns_violations_customers": """WITH b AS (SELECT c_custkey AS k, 'p' || (c_custkey % 4) AS p, 'urn:r:' || (c_nationkey % 2) AS u FROM customer
+      UNION SELECT c_custkey, 'p' || (c_custkey % 3), 'urn:r:' || (c_nationkey % 2) FROM customer UNION SELECT c_custkey, 'p0', 'urn:z' FROM customer)
+      SELECT CAST(k AS VARCHAR) AS doc_id, 'prefix_rebinding' AS rule, p AS name FROM b GROUP BY k, p HAVING count(DISTINCT u) > 1
+      UNION ALL SELECT CAST(k AS VARCHAR), 'uri_aliasing', u FROM b GROUP BY k, u HAVING count(DISTINCT p) > 1""",
     "selector_predicates": f"""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM (SELECT DISTINCT o_custkey, o_orderkey {_REPS}))
       SELECT CAST(o_custkey AS VARCHAR) AS doc_id, max(CASE WHEN k = 2 THEN CAST(o_orderkey AS VARCHAR) END) AS second,
       CAST(nullif(sum(CASE WHEN k = 1 THEN (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') END), 0) AS INTEGER) AS reps FROM p GROUP BY o_custkey""",

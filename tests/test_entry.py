@@ -49,3 +49,10 @@ def test_sql_agrees_on_the_small_tables(spark):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "period_id", "as_id", "rep_ord", "rep_id", "bandwidth", "rate"] and df.limit(1).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_namespaces_over_a_growing_table(spark):
+    n = spark.read.parquet(f"{SMALL}/customer.parquet").count()
+    assert n > 25 and entry.queries()["ns_registry_customers"](spark, SMALL).select("doc_id").distinct().count() == n
+    assert {r.rule for r in entry.queries()["ns_violations_customers"](spark, SMALL).collect()} == {"prefix_rebinding", "uri_aliasing"}
