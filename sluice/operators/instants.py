@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.columns import bind, utc_micros
+from sluice.session import cut, table
 
 # Month names as written in the texts.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -65,6 +66,15 @@ def distinct_histories(spark: SparkSession, zones: list[str], first: list[str])
     return sorted({*first, *by.values()})
 
 
+def _among(name: str, zones: list[str]) -> Column:
+    """Whether a column is one of the zones, as one expression text (hundreds of literals are slow to build one by one)."""
+    return F.expr(f"`{name}` IN ({', '.join(repr(z) for z in zones)})") if zones else F.lit(False)
+
+
+def _listed(zones: list[str]) -> Column:
+    return F.split(F.lit(",".join(zones)), ",") if zones else F.array().cast("array<string>")
+
+
 def _record(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, record in reversed(SPELLINGS):
@@ -87,20 +97,15 @@ def parse_columns(df: DataFrame, text: str, date_order: str | None = None) -> Da
     An epoch number gets offset 0.  A fraction finer than microseconds is cut.  ``date_order`` is a column with ``dmy``,
     ``mdy`` or ``ymd`` for numeric dates whose year is not first; null counts as ``dmy``.
     """
+    kept = df.columns
     order = F.coalesce(F.col(date_order), F.lit("dmy")) if date_order else F.lit("dmy")
-    parts = F.split(_record(F.col(text)), r"\|", -1)
-    read = F.get(F.transform(F.array(parts), lambda p: _read(p, order)), F.lit(0))  # a lambda binds the parts once
-    df = df.withColumn("_r", bind(read))
-    return df.withColumns({"_local": F.col("_r.local"), "_offset": F.col("_r.offset"), "_zone": F.col("_r.zone")}).drop("_r")
-
-
-def _read(parts: Column, order: Column) -> Column:
-    p = [F.get(parts, F.lit(i)) for i in range(11)]
-    kind = p[0]
+    df = df.withColumn("_p", bind(F.split(_record(F.col(text)), r"\|", -1)))
+    p = [F.get("_p", F.lit(i)) for i in range(11)]
+    kind, zone, half = p[0], F.upper(p[9]), F.upper(p[8])
+    two = lambda c: F.lpad(c, 2, "0")
     year2 = F.when(F.length(p[3]) == 2, F.concat(F.lit("20"), p[3])).otherwise(p[3])
     y_first = (kind == "num") & (order == "ymd") & (F.length(p[3]) == 2)
     month_no = (F.floor((F.instr(F.lit("".join(MONTHS)), F.lower(F.substring(p[2], 1, 3))) - 1) / 3) + 1).cast("string")
-    two = lambda c: F.lpad(c, 2, "0")
     iso = (
         F.when(kind == "ymd", F.concat_ws("-", p[1], two(p[2]), two(p[3])))
         .when(y_first, F.concat_ws("-", F.concat(F.lit("20"), two(p[1])), two(p[2]), two(p[3])))
@@ -108,38 +113,43 @@ def _read(parts: Column, order: Column) -> Column:
         .when(kind == "num", F.concat_ws("-", year2, two(p[2]), two(p[1])))
         .when(kind == "mon", F.concat_ws("-", p[1], two(month_no), two(p[3])))
     )
-    y = F.when(kind.isin("doy", "week"), _int(p[1]))
-    by_doy = F.date_add(F.make_date(y, F.lit(1), F.lit(1)), _int(p[2]) - 1)
-    by_week = F.date_add(F.trunc(F.make_date(y, F.lit(1), F.lit(4)), "week"), (_int(p[2]) - 1) * 7 + _int(p[3]) - 1)
-    date = (
-        F.when(~kind.isin("doy", "week", "epoch"), F.when(~iso.startswith("0000"), iso.try_cast("date")))
-        .when((kind == "doy") & (y > 0), F.when((_int(p[2]) >= 1) & (F.year(by_doy) == y), by_doy))
-        .when((kind == "week") & (y > 0), F.when(_int(p[3]).between(1, 7) & _int(p[2]).between(1, 53) & (F.year(F.date_add(F.trunc(by_week, "week"), 3)) == y), by_week))
-    )
-    hour0, minute, second = _int(p[4]), _int(p[5]), F.coalesce(_int(p[6]), F.lit(0))
-    half = F.upper(p[8])
-    hour = F.when(half == "", F.when(hour0 <= 23, hour0)).otherwise(F.when(hour0.between(1, 12), hour0 % 12 + F.when(half == "PM", 12).otherwise(0)))
-    fraction = F.when(p[7] == "", F.lit(0).cast("bigint")).otherwise(_micros(p[7]))
-    clock = F.when((minute <= 59) & (second <= 59), ((hour * 60 + minute) * 60 + second).cast("bigint") * 1_000_000 + fraction)
     digits = F.length(p[1])
-    number = p[1].cast("bigint")
+    number = p[1].try_cast("bigint")
     epoch = (
         F.when(digits == 10, number * 1_000_000 + F.when(p[8] == "", F.lit(0).cast("bigint")).otherwise(_micros(p[8])))
         .when(p[8] != "", F.lit(None).cast("bigint"))
         .when(digits == 13, number * 1000)
         .when(digits == 16, number)
-        .otherwise(F.floor(number / 1000))
+        .otherwise(F.substring(p[1], 1, 16).try_cast("bigint"))  # nanoseconds, cut
     )
-    zone = F.upper(p[9])
+    hour0, minute, second = _int(p[4]), _int(p[5]), F.coalesce(_int(p[6]), F.lit(0))
+    hour = F.when(half == "", F.when(hour0 <= 23, hour0)).otherwise(F.when(hour0.between(1, 12), hour0 % 12 + F.when(half == "PM", 12).otherwise(0)))
+    fraction = F.when(p[7] == "", F.lit(0).cast("bigint")).otherwise(_micros(p[7]))
+    clock = F.when((minute <= 59) & (second <= 59), ((hour * 60 + minute) * 60 + second).cast("bigint") * 1_000_000 + fraction)
     is_offset = zone.rlike(r"^[+-]")
     off_h, off_m = F.substring(zone, 2, 2).cast("int"), F.when(F.length(zone) > 3, F.substring(zone, -2, 2).cast("int")).otherwise(0)
     seconds = F.when((off_h <= 18) & (off_m <= 59), (off_h * 3600 + off_m * 60) * F.when(zone.startswith("-"), -1).otherwise(1))
-    offset = F.when(kind == "epoch", F.lit(0)).when(zone.isin("Z", "UTC", "GMT", "UT"), F.lit(0)).when(is_offset, seconds)
     bracket = F.regexp_extract(p[10], r"^\[(.*)\]$", 1)
-    name = F.when(zone.contains("/"), p[9]).when(bracket != "", bracket)
-    bad_offset = is_offset & seconds.isNull()
-    local = F.when(kind == "epoch", epoch).when(~bad_offset, F.unix_date(date).cast("bigint") * _DAY + clock)
-    return F.struct(local.alias("local"), offset.alias("offset"), name.alias("zone"))
+    # each step is computed once; the next refers to it by name
+    df = df.withColumns({
+        "_kind": bind(kind), "_iso": bind(iso), "_epoch": bind(F.when(kind == "epoch", epoch)), "_clock": bind(F.when(kind != "epoch", clock)), "_seconds": bind(F.when(is_offset, seconds)), "_is": bind(F.coalesce(is_offset, F.lit(False))),
+        "_y": bind(F.when(kind.isin("doy", "week"), _int(p[1]))), "_zone": bind(F.when(kind != "epoch", F.when(zone.contains("/"), p[9]).when(bracket != "", bracket))),
+    })
+    y = F.col("_y")
+    df = df.withColumns({
+        "_doy": bind(F.when((F.col("_kind") == "doy") & (y > 0), F.date_add(F.make_date(y, F.lit(1), F.lit(1)), _int(p[2]) - 1))),
+        "_week": bind(F.when((F.col("_kind") == "week") & (y > 0), F.date_add(F.trunc(F.make_date(y, F.lit(1), F.lit(4)), "week"), (_int(p[2]) - 1) * 7 + _int(p[3]) - 1))),
+    })
+    date = (
+        F.when(F.col("_iso").isNotNull(), F.when(~F.col("_iso").startswith("0000"), F.col("_iso").try_cast("date")))
+        .when(F.col("_doy").isNotNull(), F.when((_int(p[2]) >= 1) & (F.year("_doy") == y), F.col("_doy")))
+        .when(F.col("_week").isNotNull(), F.when(_int(p[3]).between(1, 7) & _int(p[2]).between(1, 53) & (F.year(F.date_add(F.trunc("_week", "week"), 3)) == y), F.col("_week")))
+    )
+    utc = (F.col("_kind") == "epoch") | zone.isin("Z", "UTC", "GMT", "UT")
+    bad_offset = F.col("_is") & F.col("_seconds").isNull()
+    local = F.when(F.col("_kind") == "epoch", F.col("_epoch")).when(~bad_offset, F.unix_date(date).cast("bigint") * _DAY + F.col("_clock"))
+    df = df.withColumns({"_local": bind(local), "_offset": bind(F.when(utc, F.lit(0)).otherwise(F.col("_seconds")))})
+    return df.select(*kept, "_local", "_offset", "_zone")
 
 
 def _ts(micros: Column) -> Column:
@@ -152,13 +162,14 @@ def resolve_columns(df: DataFrame, zone: str, zones: list[str], local: str = "_l
     The offsets a zone has a day before and a day after bracket any clock change; an offset counts if it leads back to
     the same wall clock.  None does: nonexistent.  Two do: ambiguous.
     """
-    df = df.withColumn("_known", bind(F.when(F.col(zone).isin(zones), F.col(zone))))
+    df = df.withColumn("_known", bind(F.when(_among(zone, zones), F.col(zone))))
     safe = F.coalesce("_known", F.lit("UTC"))
     wall = F.col(local)
     offset_at = lambda micros: F.unix_micros(F.from_utc_timestamp(_ts(micros), safe)) - micros
-    df = df.withColumns({"_before": bind(wall - offset_at(wall - _DAY)), "_after": bind(wall - offset_at(wall + _DAY))})
-    fits = lambda micros: micros + offset_at(micros) == wall
-    df = df.withColumns({"_b": fits(F.col("_before")), "_a": fits(F.col("_after"))})
+    needed = F.col(offset).isNull() & F.col("_known").isNotNull()
+    df = df.withColumns({"_before": bind(F.when(needed, wall - offset_at(wall - _DAY))), "_after": bind(F.when(needed, wall - offset_at(wall + _DAY)))})
+    fits = lambda micros: F.coalesce(F.when(needed, micros + offset_at(micros) == wall), F.lit(False))
+    df = df.withColumns({"_b": bind(fits(F.col("_before"))), "_a": bind(fits(F.col("_after")))})
     two = F.col("_a") & F.col("_b") & (F.col("_before") != F.col("_after"))
     status = (
         F.when(wall.isNull(), "invalid")
@@ -191,8 +202,8 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
     a writer without a usable one all known offset histories.  A writer without any zone-less text keeps its declared zone.
     """
     d = declared.select(F.col(writer), F.col("tz").alias("declared"))
-    candidates = sorted(r.tz for r in declared.select("tz").where(F.col("tz").isin(zones)).distinct().collect())  # at most as many as there are zones
-    usable = F.coalesce(F.col("declared").isin(zones), F.lit(False))
+    candidates = sorted(r.tz for r in declared.select("tz").where(_among("tz", zones)).distinct().collect())  # at most as many as there are zones
+    usable = F.coalesce(_among("declared", zones), F.lit(False))
     every = distinct_histories(parsed.sparkSession, zones, candidates) if d.where(~usable).limit(1).count() else candidates
     wall = F.col("_local")
     seen = utc_micros(parsed, received)
@@ -200,7 +211,7 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
     # one row per writer, wall clock and lag in steps of five minutes is enough: the count of violations is additive
     step = 300_000_000
     binned = loose.groupBy(F.col(writer), (wall - wall % step).alias("_wall"), F.round((seen - wall) / step).cast("bigint").alias("_lag")).agg(F.count("*").alias("n"))
-    few, all_ = (F.array(*map(F.lit, c)).cast("array<string>") for c in (candidates, every))
+    few, all_ = _listed(candidates), _listed(every)
     undeclared = F.broadcast(d.where(~usable).select(writer, F.lit(True).alias("_all")).distinct())
     tried = binned.join(undeclared, writer, "left").withColumn("zone", F.explode(F.when(F.col("_all"), all_).otherwise(few))).drop("_all")
     lag = F.col("_lag") * step + (F.unix_micros(F.from_utc_timestamp(_ts(F.col("_wall")), F.col("zone"))) - F.col("_wall"))
@@ -208,7 +219,7 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
     scored = tried.groupBy(writer, "zone").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("texts"), F.sum(F.abs(lag) * F.col("n")).alias("_lags"))
     scored = scored.join(F.broadcast(d), writer, "left")
     best = scored.groupBy(writer, "declared").agg(
-        F.min(F.struct("violations", (~F.col("zone").eqNullSafe(F.col("declared"))).alias("_o"), "_lags", (~F.col("zone").isin(candidates)).alias("_new"), "zone", "texts")).alias("b"),
+        F.min(F.struct("violations", (~F.col("zone").eqNullSafe(F.col("declared"))).alias("_o"), "_lags", (~_among("zone", candidates)).alias("_new"), "zone", "texts")).alias("b"),
         F.max(F.when(F.col("zone") == F.col("declared"), F.col("violations"))).alias("declared_violations"),
     )
     chosen = best.select(writer, F.col("b.zone").alias("zone"), F.col("b.texts").alias("texts"), F.col("b.violations").alias("violations"), "declared_violations")
@@ -220,28 +231,26 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
 def normalise_instants(ops: DataFrame, packager: DataFrame, fields=("publish_time", "original_publish_time"), keys=("patch_id",), writer: str = "packager_id", received: str = "received_at", max_lag_s: int = 900) -> DataFrame:
     """All texts of ``fields`` with ``keys, field, text, status, utc`` and ``_utc`` in microseconds.
 
-    Texts are distinct per key, writer and field before anything is parsed.  The zone of a writer's zone-less texts is the
-    one that ``estimate_zones`` chose.
+    Rows are reduced to their distinct texts before anything is parsed, with partial results made where they are read; the
+    parsed table is narrow and written once, as the estimate and the result both read it.  The zone of a writer's zone-less
+    texts is the one that ``estimate_zones`` chose.
     """
     spark = ops.sparkSession
     zones = known_zones(spark)
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    rows = ops.select(*keys, writer, received, pairs.alias("_f")).select(*keys, writer, received, "_f.field", "_f.text").where(F.col("text").isNotNull())
-    rows = rows.groupBy(*keys, writer, "field", "text").agg(F.min(received).alias(received))
     dim = packager.select(F.col(writer), "tz", "date_order").groupBy(writer).agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
-    parsed = parse_columns(rows.join(F.broadcast(dim.select(writer, "date_order")), writer, "left"), "text", "date_order")
-    publish = parsed.where(F.col("field") == fields[0])
-    chosen = estimate_zones(publish, writer, received, dim, zones, max_lag_s)
+    rows = ops.groupBy(*keys, writer, *fields).agg(F.min(received).alias(received))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
+    rows = rows.select(*keys, writer, received, pairs.alias("_f")).select(*keys, writer, received, "_f.field", "_f.text").where(F.col("text").isNotNull())
+    parsed = cut(parse_columns(rows.join(F.broadcast(dim.select(writer, "date_order")), writer, "left"), "text", "date_order").drop("date_order"), "instants")
+    chosen = estimate_zones(parsed.where(F.col("field") == fields[0]), writer, received, dim, zones, max_lag_s)
     chosen = chosen.select(writer, F.col("zone").alias("_home"))
-    out = parsed.join(F.broadcast(chosen), writer, "left").withColumn("_in", F.coalesce("_zone", "_home"))
+    out = parsed.join(F.broadcast(chosen), writer, "left").withColumn("_in", F.coalesce("_zone", "_home"))  # one row a writer
     out = resolve_columns(out, "_in", zones)
-    return out.select(*keys, "field", "text", "status", F.coalesce(format_utc(F.col("_utc")), F.lit("")).alias("utc"), "_utc")
+    return out.select(*keys, "field", "text", "status", F.coalesce(format_utc(F.col("_utc")), F.lit("")).alias("utc"), "_utc").distinct()
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    from sluice.session import scan, table
-
-    ops = scan(spark, folder, "patch_op", "patch_id", "packager_id", "publish_time", "original_publish_time", "received_at")
+    ops = table(spark, folder, "patch_op").select("patch_id", "packager_id", "publish_time", "original_publish_time", "received_at")
     got = normalise_instants(ops, table(spark, folder, "packager"))
     settled = F.col("text").rlike(SETTLED) & (F.col("status") == "ok")
     return got.where(~settled).select("patch_id", "field", "status", "utc").distinct()
@@ -257,6 +266,4 @@ def writer_zones(ops: DataFrame, packager: DataFrame) -> DataFrame:
 
 def p1_zones(spark: SparkSession, folder: str) -> DataFrame:
     """What the estimator makes of each writer, beside what is declared."""
-    from sluice.session import table
-
     return writer_zones(table(spark, folder, "patch_op"), table(spark, folder, "packager"))

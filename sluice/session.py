@@ -5,25 +5,33 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: what the session names, or (only where nothing is set, as in tests) a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
+    """The folder for checkpoints: what the session names.  Only a local session without one, as in tests, gets a folder of its
+    own; on a cluster that would lie on one machine's disk, so it is an error there."""
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="sluice-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sluice-checkpoint-")
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The same rows as a table written to the shared folder: lineage ends there, and a lost executor costs a read."""
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4()}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,13 +49,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scan(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table for work that is heavy per row: where its files give fewer splits than the cluster has cores (small or highly
-    compressed files), its rows are dealt out evenly.  Large inputs have enough splits and are read as they are."""
+    """A table for work in Python that is heavy per row.  Only its layout may change: files with fewer splits than the cluster
+    has cores would leave cores idle, so their rows are dealt out evenly; all rows are read either way."""
     df = table(spark, folder, name)
     if columns:
         df = df.select(*columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,6 +28,9 @@ CASES = [
     (1, "1743296484123", "ok", "2025-03-30T01:01:24.123000Z"),
     (1, "1743296484123456", "ok", "2025-03-30T01:01:24.123456Z"),
     (1, "1743296484.5", "ok", "2025-03-30T01:01:24.500000Z"),
+    (1, "1761449400123456999", "ok", "2025-10-26T03:30:00.123456Z"),
+    (1, "9999999999999999999", "ok", "2286-11-20T17:46:39.999999Z"),
+    (1, "99999999999999999999", "invalid", ""),
     (1, "20250430T014739Z", "ok", "2025-04-30T01:47:39.000000Z"),
     (1, "20250330T020126+0100", "ok", "2025-03-30T01:01:26.000000Z"),
     (1, "2025-07-19 00:18:07 America/Los_Angeles", "ok", "2025-07-19T07:18:07.000000Z"),
