@@ -1,10 +1,11 @@
 import random
 from decimal import Decimal
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.operators.intervals import continuous, dyadic_blocks, timeline_intervals
+from sluice.operators.intervals import _canonical, continuous, dyadic_blocks, maximal_blocks, row_intervals
 
 SCHEMA = "key struct<mpd_id:string,period_id:string,as_id:int>, start decimal(38,0), end decimal(38,0)"
 S = "mpd_id string, period_id string, as_id int, timescale bigint, snap int, ord int, t decimal(20,0), n decimal(20,0), d decimal(20,0), r bigint, k bigint, captured_at timestamp, key string"
@@ -40,6 +41,26 @@ def test_blocks_are_canonical(start, length):
         assert not (i == j and a ^ b == 1 << i), "siblings must have been one block"
 
 
+@given(st.lists(st.tuples(st.integers(0, 2**61), st.integers(1, 2**60)), min_size=1, max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_blocks_of_many_are_those_of_each(pairs):
+    row, start, level = _canonical(np.array([a for a, _ in pairs]), np.array([a + n for a, n in pairs]))
+    got = sorted(zip(row.tolist(), start.tolist(), level.tolist()))
+    assert got == sorted((i, s, v) for i, (a, n) in enumerate(pairs) for s, v in dyadic_blocks(a, a + n))
+
+
+def test_maximal_blocks(spark):
+    """Covered and repeated blocks are gone and no two siblings below a cell's size are left."""
+    rng = random.Random(4)
+    spans = [(a, a + rng.randrange(1, 60)) for a in (rng.randrange(3000) for _ in range(300))] + [(2**24 - 3, 2**24 + 9), (2**30, 2**30 + 3 * 2**24)]
+    df = spark.createDataFrame([(("a", None, 1), Decimal(a), Decimal(b)) for a, b in spans], SCHEMA)
+    blocks = {((r.top << 84) + (r.cell << 24) + r.off, r.level) for r in maximal_blocks(df).collect()}
+    covered = {x for a, b in spans if b < 2**25 for x in range(a, b)}
+    small = [(s, v) for s, v in blocks if s < 2**25]
+    assert sum(1 << v for _, v in small) == len(covered) and {x for s, v in small for x in range(s, s + (1 << v))} == covered
+    assert not [1 for s, v in blocks if v < 24 and (s ^ (1 << v), v) in blocks]
+
+
 def test_random_intervals(spark):
     rng = random.Random(3)
     rows = []
@@ -64,14 +85,14 @@ def test_rows_of_timelines(spark):
         one(3, 2, 40, 10, -1),  # nothing after it
         one(3, 1, 40, 1, -5),
     ]
-    got = {(int(r.start), int(r.end)) for r in timeline_intervals(spark.createDataFrame(rows + rows[:3], S)).collect()}
-    assert got == {(0, 25), (100, 160), (0, 7), (30, 32)}
-    periods = sorted((r.kind, int(r.start), int(r.end)) for r in continuous(timeline_intervals(spark.createDataFrame(rows, S))).collect())
+    got = {(r.snap, int(r.start), int(r.end)) for r in row_intervals(spark.createDataFrame(rows + rows[:3], S)).collect()}
+    assert got == {(1, 0, 10), (1, 10, 20), (1, 20, 25), (1, 100, 150), (1, 150, 160), (2, 0, 7), (2, 30, 32)}
+    periods = sorted((r.kind, int(r.start), int(r.end)) for r in continuous(row_intervals(spark.createDataFrame(rows, S))).collect())
     assert periods == [("gap", 25, 30), ("gap", 32, 100), ("period", 0, 25), ("period", 30, 32), ("period", 100, 160)]
 
 
 def test_empty(spark):
-    assert continuous(timeline_intervals(spark.createDataFrame([], S))).count() == 0
+    assert continuous(row_intervals(spark.createDataFrame([], S))).count() == 0
 
 
 def test_negative_starts(spark):
