@@ -1,11 +1,12 @@
 """Problem 5: two copies of the same data are compared, field by field.
 
 Both copies of a row are read into cells ``path, field, value`` (an element itself is the cell with the empty field).
-A checksum matrix of key bucket by field holds, for each copy, the sum of a 128-bit hash of its cells (two 64-bit hashes
-added as decimals, one copy with a minus); equal copies of one row cancel to zero, those of unlike rows of one document
-never.  Only the buckets that do not cancel are read
-again, and only their unequal fields meet in the comparison.  The matrix has at most ``buckets`` rows a field, and its sums
-are made map-side, so no key is ever gathered.
+A checksum matrix of key bucket by field holds, for each copy, the sum of a 128-bit hash of its cells (kept as six limbs, so
+that sums of any number of rows stay exact; one copy with a minus); equal copies of one row cancel to zero, those of unlike
+rows of one document never.  Only the buckets that do not cancel are read again, and only their unequal fields meet in the
+comparison.  There is one bucket for about ``ROWS_A_BUCKET`` rows, so that what an unequal row makes read again does not grow
+with the table; sums are made map-side, so no key is ever gathered.  The unequal part of the matrix and the cells of the
+second reading are narrow written tables, as each is read twice.
 
 Defined results: outer white space, order, comments and XML style never matter; named fields compare as booleans or
 numbers, a text that is neither compares as text; an empty value is a value; a copy that is null or not well-formed is
@@ -20,10 +21,10 @@ from decimal import Decimal, InvalidOperation
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import scan, ship
+from sluice.session import cut, scan, ship
 
 # What is an element of the key chain, and how fields compare.
 LEVELS = ("MPD", "Period", "AdaptationSet", "Representation")
@@ -31,8 +32,11 @@ BOOLEANS = frozenset(("segmentAlignment", "subsegmentAlignment", "bitstreamSwitc
 NUMBERS = frozenset(("bandwidth", "width", "height", "startWithSAP", "maxPlayoutRate", "qualityRanking", "group"))
 
 _SPACE = " \t\r\n"
-_CELL = pa.struct([("side", pa.int8()), ("path", pa.string()), ("anchor", pa.string()), ("field", pa.string()), ("value", pa.string())])
-CELLS = "doc_id string, pair bigint, bucket int, cells array<struct<side tinyint, path string, anchor string, field string, value string>>"
+#: Rows that share a bucket of the matrix.
+ROWS_A_BUCKET = 4
+_LEAST_BUCKETS = 1 << 10
+SUMMED = "bucket bigint, salt bigint, side tinyint, path string, field string, value string"
+CELLS = "doc_id string, pair bigint, bucket bigint, side tinyint, path string, anchor string, field string, value string"
 
 
 def canonical(field: str, value: str) -> str:
@@ -89,42 +93,62 @@ def read_copy(xml: str) -> list[tuple[str, str, str, str]]:
     return [(path, anchor, field, value) for (path, field), (anchor, value) in cells.items()]
 
 
-def _read(left: str, right: str):
+def _read(left: str, right: str, keys: tuple[str, ...], anchored: bool):
+    """One row a cell, with the row's keys."""
+    names = [*keys, "side", "path", *(["anchor"] if anchored else []), "field", "value"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            both: list[list[dict]] = []
-            for copies in zip(batch.column(left).to_pylist(), batch.column(right).to_pylist()):
-                cells = []
+            of: list[int] = []
+            sides: list[int] = []
+            cells: list[tuple[str, str, str, str]] = []
+            for i, copies in enumerate(zip(batch.column(left).to_pylist(), batch.column(right).to_pylist())):
                 for side, xml in zip((1, -1), copies):
                     if xml is not None:
                         try:
-                            cells += [{"side": side, "path": p, "anchor": a, "field": f, "value": v} for p, a, f, v in read_copy(xml)]
+                            got = read_copy(xml)
                         except expat.ExpatError:
-                            pass
-                both.append(cells)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pair"), batch.column("bucket"), pa.array(both, pa.list_(_CELL))], names=["doc_id", "pair", "bucket", "cells"])
+                            continue
+                        cells += got
+                        of += [i] * len(got)
+                        sides += [side] * len(got)
+            if cells:
+                path, anchor, field, value = (pa.array(c, pa.string()) for c in zip(*cells))
+                own = [batch.column(k).take(pa.array(of, pa.int64())) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sides, pa.int8()), path, *([anchor] if anchored else []), field, value], names=names)
 
     return run
 
 
-def compare_copies(df: DataFrame, left: str, right: str, buckets: int = 1 << 16) -> DataFrame:
+def _limbs(seed: int) -> list[Column]:
+    """A 64-bit hash of a cell as three signed parts of 22, 21 and 21 bits."""
+    h = F.xxhash64(F.lit(seed), "salt", "path", "field", "value")
+    return [F.shiftright(h, 42), F.shiftright(h, 21).bitwiseAND(F.lit((1 << 21) - 1)), h.bitwiseAND(F.lit((1 << 21) - 1))]
+
+
+def compare_copies(df: DataFrame, left: str, right: str, buckets: int | None = None) -> DataFrame:
     """``doc_id, path, field, kind`` of all differences between the copies ``left`` and ``right``."""
     ship(df.sparkSession)
-    keyed = df.select("doc_id", left, right, F.xxhash64(left, F.col(left).isNull(), right, F.col(right).isNull()).alias("pair"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    buckets = buckets or max(_LEAST_BUCKETS, df.count() // ROWS_A_BUCKET)
+    keyed = df.select("doc_id", left, right, F.xxhash64(left, F.col(left).isNull(), right, F.col(right).isNull()).alias("pair"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("bigint").alias("bucket"))
     keyed = keyed.where(F.col(left).isNotNull() | F.col(right).isNotNull())
 
-    def cells(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(_read(left, right), CELLS).select("doc_id", "pair", "bucket", F.explode("cells").alias("c")).select("doc_id", "pair", "bucket", "c.*")
-
-    wide = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "pair", "path", "field", "value").cast("decimal(38,0)") * F.col("side")
-    matrix = cells(keyed).groupBy("bucket", "field").agg(F.sum(wide(0)).alias("h0"), F.sum(wide(1)).alias("h1"), F.sum("side").alias("n"))
-    unequal = matrix.where((F.col("h0") != 0) | (F.col("h1") != 0) | (F.col("n") != 0)).select("bucket", "field")
+    salted = keyed.select("bucket", F.xxhash64("doc_id", "pair").alias("salt"), left, right)
+    cells = salted.mapInArrow(_read(left, right, ("bucket", "salt"), False), SUMMED)
+    parts = [x for seed in (0, 1) for x in _limbs(seed)]
+    sums = [F.sum(x * F.col("side")).alias(f"h{i}") for i, x in enumerate(parts)]
+    matrix = cells.groupBy("bucket", "field").agg(*sums, F.sum("side").alias("n"))
+    differs = F.col("n") != 0
+    for i in range(len(parts)):
+        differs = differs | (F.col(f"h{i}") != 0)
+    unequal = cut(matrix.where(differs).select("bucket", "field"), "unequal")
 
     again = keyed.join(unequal.select("bucket").distinct(), "bucket", "left_semi")
-    marked = cells(again).join(unequal.withColumn("hit", F.lit(True)), ["bucket", "field"], "left")
+    marked = again.mapInArrow(_read(left, right, ("doc_id", "pair", "bucket"), True), CELLS).join(unequal.withColumn("hit", F.lit(True)), ["bucket", "field"], "left")
     kept = marked.where(F.col("hit") | (F.col("field") == ""))
     one = lambda side, what: F.max(F.when(F.col("side") == side, what))
     joined = kept.groupBy("doc_id", "pair", "path", "anchor", "field").agg(one(1, F.col("value")).alias("a"), one(-1, F.col("value")).alias("b"))
+    joined = cut(joined, "cells")
     a, b = F.col("a"), F.col("b")
     kind = F.when(b.isNull(), "only_original").when(a.isNull(), "only_regenerated").when(a != b, "differs")
     both = joined.where((F.col("field") == "") & a.isNotNull() & b.isNotNull()).select("doc_id", "pair", F.col("path").alias("anchor"), F.lit(True).alias("anchored"))

@@ -1,14 +1,16 @@
 """Problem 3: records that do not parse are set apart with the reason, the valid ones are loaded with types.
 
-Rows are read permissively (``from_csv`` under an explicit schema, the raw text kept).  Corrupt rows are then reclassified
-by three checks, in this order: ``quoting`` (RFC 4180), ``column_count`` and ``invalid_value`` (one row a field).
+Every row is read permissively (``from_csv`` under an explicit schema, the raw text kept where the reader finds it corrupt).
+What the reader marks, and what its lenience may have let through (any quote or line end), is then reclassified by three
+checks, in this order: ``quoting`` (RFC 4180), ``column_count`` and ``invalid_value`` (one row a field, for all rows).
 
 The quoting check is linear and has no recursion: every quoted chunk is replaced by one mark, after which a field must be
 marks only or plain text without quotes and line ends.  Lists of strings are checked the same way under RFC 8259.  All
-work is in Catalyst expressions and there is no shuffle.
+work is in Catalyst expressions on the row itself.
 
 Defined results: a null raw is not a record and gives no row; the empty text has one column, so ``column_count``; one
-line end after the last field is allowed; repeated texts are judged line by line.
+line end after the last field is allowed; repeated texts are judged line by line.  A text with more commas than the reader
+has room for is classified first and read after that.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ FIELDS = ("doc_id", "category", "success", "xsd_errors", "json_schema_errors", "
 # The categories of a conversion.
 CATEGORIES = ("dash-js", "dash-if", "iso-annex-G", "iso-annex-H", "iso-annex-K", "misc")
 
+#: Columns the reader has room for at first.
+MOST_COMMAS = 20_000
+
 _MARK, _ESC = "\x01", "\x02"
 
 
@@ -71,9 +76,14 @@ def read_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``rec`` (all fields as text, null unless quoting and count are right) and ``faults`` (array of reason, field)."""
     options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": "-1", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     ddl = ", ".join(f"{f} string" for f in FIELDS) + ", _corrupt string"
-    df = df.where(F.col(raw).isNotNull()).withColumn("_skeleton", bind(_skeleton(F.col(raw))))
-    df = df.withColumn("_reason", bind(F.when(~_well_quoted(F.col("_skeleton")), "quoting").when(F.size(F.split("_skeleton", ",", -1)) != len(FIELDS), "column_count")))
-    df = df.withColumn("rec", bind(F.when(F.col("_reason").isNull(), F.from_csv(raw, ddl, options))))
+    text = F.col(raw)
+    fits = F.length(text) - F.length(F.replace(text, F.lit(","))) < MOST_COMMAS
+    df = df.where(text.isNotNull()).withColumn("_read", bind(F.from_csv(F.when(fits, text), ddl, options)))
+    marked = F.col("_read.doc_id").isNull() | F.col("_read._corrupt").isNotNull() | text.rlike('["\r\n]')
+    df = df.withColumn("_skeleton", bind(F.when(marked, _skeleton(text))))
+    wrong = F.when(~_well_quoted(F.col("_skeleton")), "quoting").when(F.size(F.split("_skeleton", ",", -1)) != len(FIELDS), "column_count")
+    df = df.withColumn("_reason", bind(F.when(F.col("_skeleton").isNotNull(), wrong)))
+    df = df.withColumn("rec", bind(F.when(F.col("_reason").isNull(), F.coalesce("_read", F.from_csv(text, ddl, options)))))
     v = {f: F.coalesce(F.col(f"rec.{f}"), F.lit("")) for f in FIELDS}
     empty = lambda f: v[f] == ""
     good = {
@@ -88,7 +98,7 @@ def read_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     fault = lambda reason, field: F.struct(reason.alias("reason"), F.lit(field).alias("field"))
     values = F.array(*[F.when(~ok, fault(F.lit("invalid_value"), f)) for f, ok in good.items()])
     faults = F.when(F.col("_reason").isNotNull(), F.array(fault(F.col("_reason"), ""))).otherwise(F.filter(values, lambda x: x.isNotNull()))
-    return df.withColumn("faults", bind(faults)).drop("_skeleton", "_reason")
+    return df.withColumn("faults", bind(faults)).drop("_skeleton", "_reason", "_read")
 
 
 def load_valid(df: DataFrame, raw: str = "raw") -> DataFrame:

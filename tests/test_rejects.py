@@ -33,6 +33,7 @@ def test_reasons(spark):
         ('d,misc,1,"[""' + "a" * 200_000 + '""]",,,2025-01-01T00:00:00Z,', []),
         ('d,misc,1,"[' + ",".join(['""x""'] * 50_000) + ']",,,2025-01-01T00:00:00Z,', []),
         ("\x01,misc,1,,,,2025-01-01T00:00:00Z,", []),
+        ("d" + "," * 30_000, [("column_count", "")]),
     ]
     got = faults(spark, [c for c, _ in cases] + [None])
     for i, (raw, want) in enumerate(cases):
