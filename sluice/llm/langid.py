@@ -6,21 +6,26 @@ context has different symbols) of the longer contexts that were seen without it.
 frozen into one table: each byte string seen has, for every language, the cost of its last byte after the others and
 the escape cost it has as a context.  A paragraph gets the language with the least total code length.
 
-Training is on a bounded sample: about ``per_language`` labelled documents of each language (chosen by hash, so anywhere
-in the corpus), reduced to the paragraphs that look like their label (``purify``), which drops wrong labels; clean labelled
-texts may be added.  Scoring is one Python stage over all whole texts without a shuffle; only the table is sent.
-
-The confidence is the posterior of the best language under equal priors, each bit counted as ``TEMPER`` bits.
-
-Defined results: a block without letters outside markup, JSON, code and numbers has null language and confidence 0; a
-null text has no paragraphs; an empty text is one block without language; a document has the language most of its
-bytes of prose have, null if none; labels are read in any spelling (case, region, ISO 639-2, names), others name none.
+Training is on a bounded sample: about ``per_language`` labelled documents of each language (in the order of a seeded hash,
+so anywhere in the corpus and the same in every run), reduced to the blocks that look like their label (``purify``), which
+drops wrong labels.  Nothing else is used; no held-out text of another problem enters.  Scoring is one Python stage over
+all whole texts; only the table is sent.
+
+The confidence is the posterior of the best language under equal priors, each bit counted as ``temper`` bits, the temper
+being the one under which held-out pieces of the sample are likeliest (``calibrate``).
+
+Defined results: a block without letters outside markup, JSON, code and numbers has null language and confidence 0, and
+so has prose with many bytes that no language has (a script none of the labels has; prose of an unknown language in a known
+script is given to the nearest one); a null text has no paragraphs; an empty text is one block without
+language; a document has the language most of its bytes of prose have, null if none; labels are read in any spelling (case,
+region, two-letter and three-letter codes, names in five languages and in their own), others name none.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,35 +34,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.session import scan, ship, table
+from sluice.session import scan, ship
 
 ORDER = 4
+#: Confidence where nothing is held out to calibrate it.
 TEMPER = 0.02
+#: Prose with more than this part of bytes that no language has is in none of them.
+STRANGE = 0.25
 
-# The two-letter codes of ISO 639-1.
-CODES = (
-    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv "
-    "ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my "
-    "na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty "
-    "ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
-)
-# Other names of languages.
-NAMES = {
-    "en": "eng english anglais englisch", "de": "deu ger german deutsch allemand", "fr": "fra fre french français francais französisch",
-    "es": "spa spanish español espanol castellano", "it": "ita italian italiano", "pt": "por portuguese português portugues",
-    "nl": "nld dut dutch nederlands", "ru": "rus russian русский", "pl": "pol polish polski", "ja": "jpn japanese 日本語",
-    "zh": "zho chi chinese 中文", "ko": "kor korean 한국어", "sv": "swe swedish svenska", "da": "dan danish dansk", "cs": "ces cze czech čeština",
-    "tr": "tur turkish türkçe", "uk": "ukr ukrainian українська", "ar": "ara arabic العربية", "fi": "fin finnish suomi", "hu": "hun hungarian magyar",
+# Bibliographic three-letter codes, where they are not the terminological ones.
+BIBLIOGRAPHIC = {
+    "alb": "sq", "arm": "hy", "baq": "eu", "bur": "my", "chi": "zh", "cze": "cs", "dut": "nl", "fre": "fr", "geo": "ka", "ger": "de", "gre": "el", "ice": "is",
+    "mac": "mk", "mao": "mi", "may": "ms", "per": "fa", "rum": "ro", "slo": "sk", "tib": "bo", "wel": "cy",
 }
+# Spellings that no code table has.
+SPELLINGS = {"castellano": "es", "castilian": "es", "francais": "fr", "espanol": "es", "portugues": "pt", "farsi": "fa", "flemish": "nl", "in": "id", "iw": "he", "ji": "yi"}
+_names: dict[str, str] = {}
+
+
+def language_names(spark: SparkSession) -> dict[str, str]:
+    """Code of each way a language can be named, in lower case: its two-letter and three-letter codes, and its name in English,
+    French, German, Spanish and in itself, from the language tables of the session's JVM."""
+    if not _names:
+        locale = spark.sparkContext._jvm.java.util.Locale
+        readers = [locale.forLanguageTag(t) for t in ("en", "fr", "de", "es")]
+        for code in locale.getISOLanguages():
+            own = locale.forLanguageTag(code)
+            code = SPELLINGS.get(code, code)
+            for name in (own.getISO3Language(), *(own.getDisplayLanguage(r) for r in (*readers, own))):
+                _names.setdefault(name.lower(), code)
+            _names[code] = code
+        _names.update(BIBLIOGRAPHIC)
+        _names.update(SPELLINGS)
+        _names.pop("", None)
+    return _names
 
 
 def label_language(label: Column) -> Column:
     """The two-letter code a label names, in whatever spelling; null if it names none."""
+    names = F.from_json(F.lit(json.dumps(language_names(SparkSession.active()))), "map<string,string>")
     low = F.lower(F.trim(label))
     head = F.regexp_extract(low, r"^([^\s_-]+)(?:[_-].*)?$", 1)
-    names = F.create_map(*[F.lit(x) for code, words in NAMES.items() for w in words.split() for x in (w, code)])
-    codes = CODES.split()
-    return F.when(head.isin(codes), head).otherwise(F.coalesce(F.try_element_at(names, head), F.try_element_at(names, low)))
+    return F.coalesce(F.try_element_at(names, head), F.try_element_at(names, low))
 
 
 _NOISE = re.compile(r"`[^`]*`|<[^<>]*>|https?://[!-~]*|[!-~]*[@/=_{}\\][!-~]*|\b[A-Z]-?\d+\b|[\d#*|>+-]+")
@@ -84,9 +102,11 @@ class Model:
     languages: list[str]
     keys: np.ndarray  # open addressing: 0 is free
     rows: np.ndarray
-    cost: np.ndarray  # row x language, NaN where the string was not seen
-    escape: np.ndarray  # row x language, 0 where it was not seen as a context
-    root_escape: np.ndarray
+    cost: np.ndarray  # row x language: what the last byte costs after the others, escapes included
+    escape: np.ndarray  # row x language, 0 where it was not seen as a context; the last row is zero
+    root: np.ndarray  # what a byte costs that was never seen
+    bytes_seen: np.ndarray  # whether any language has each byte
+    temper: float = TEMPER
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -118,41 +138,52 @@ def _join(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(texts: dict[str, list[str]]) -> Model:
     """Frozen context trees of all languages from blocks of prose."""
     languages = sorted(texts)
-    counted: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    counted: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+    parents: list[list[np.ndarray]] = [[] for _ in range(ORDER + 1)]  # per order: key, key of its context, key of its suffix
     for lang in languages:
         data, spans = _join(texts[lang])
         inside = np.zeros(len(data) + 1, np.int64)
         np.add.at(inside, spans[:, 0], 1)
         np.add.at(inside, spans[:, 1], -1)
         mask = np.cumsum(inside)[:-1] > 0
-        mine = []
+        mine, shorter = [], np.zeros(len(data), np.uint64)
         for k, key in enumerate(_grams(data)):
-            if k:
-                context = np.zeros_like(key)
-                context[1:] = previous[:-1]  # noqa: F821
-            else:
-                context = np.zeros_like(key)
+            context = np.zeros_like(key)
+            context[1:] = shorter[:-1]
             u, first, n = np.unique(key[mask], return_index=True, return_counts=True)
-            mine.append((u, n, context[mask][first]))
-            previous = key  # noqa: F841
-        counted[lang] = mine
-    every = np.unique(np.concatenate([u for mine in counted.values() for u, _, _ in mine] + [c for mine in counted.values() for _, _, c in mine] or [np.zeros(0, np.uint64)]))
+            own = context[mask][first]
+            mine.append((u, n, own))
+            parents[k].append(np.stack([u, own, shorter[mask][first]]))
+            shorter = key
+        counted.append(mine)
+    every = np.unique(np.concatenate([p[:2].ravel() for ps in parents for p in ps] or [np.zeros(0, np.uint64)]))
     every = every[every != 0]
     cost = np.full((len(every) + 1, len(languages)), np.nan, np.float32)
     escape = np.zeros((len(every) + 1, len(languages)), np.float32)
-    root = np.zeros(len(languages), np.float32)
-    for j, lang in enumerate(languages):
-        for k, (u, n, context) in enumerate(counted[lang]):
+    root = np.full(len(languages), 8.0, np.float32)
+    for j, mine in enumerate(counted):
+        for k, (u, n, context) in enumerate(mine):
             contexts, at = np.unique(context, return_inverse=True)
             total, different = np.bincount(at, n), np.bincount(at)
             cost[np.searchsorted(every, u), j] = np.log2((total + different)[at] / n)
             leave = np.log2((total + different) / np.maximum(different, 1))
             if k == 0:
-                root[j] = leave[0] if len(leave) else 0
+                root[j] += leave[0] if len(leave) else 0
             else:
                 escape[np.searchsorted(every, contexts), j] = leave
+    for k, ps in enumerate(parents):  # shorter strings first: a language that has not seen a string falls back on its suffix
+        if ps:
+            u, context, suffix = np.concatenate(ps, 1)
+            u, first = np.unique(u, return_index=True)
+            row = np.searchsorted(every, u)
+            back = root if k == 0 else escape[np.searchsorted(every, context[first])] + cost[np.searchsorted(every, suffix[first])]
+            cost[row] = np.where(np.isnan(cost[row]), back, cost[row])
     keys, rows = _table(every)
-    return Model(languages, keys, rows, cost, escape, root)
+    seen = np.zeros(256, bool)
+    for blocks in texts.values():
+        for b in blocks:
+            seen[np.frombuffer(b.encode("utf-8", "replace"), np.uint8)] = True
+    return Model(languages, keys, rows, cost, escape, root, seen)
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -188,94 +219,131 @@ def _find(model: Model, key: np.ndarray) -> np.ndarray:
     return got
 
 
-def code_lengths(model: Model, blocks: list[str], at_once: int = 1 << 17) -> np.ndarray:
-    """Bits of each block (rows) under each language (columns)."""
+def code_lengths(model: Model, blocks: list[str], at_once: int = 1 << 16) -> np.ndarray:
+    """Bits of each block (rows) under each language (columns).
+
+    The row of the longest string seen holds the cost with all fallbacks; only bytes whose long strings no language has seen
+    are looked up in shorter ones.
+    """
     out = np.zeros((len(blocks), len(model.languages)))
     data, spans = _join(blocks)
+    unknown = len(model.cost) - 1
     for begin in range(len(_PAD), len(data), at_once):  # stretches of bytes, each read with the contexts before it
         end = min(begin + at_once, len(data))
         lead = begin - len(_PAD)
-        bits = np.full((end - lead, len(model.languages)), 8.0, np.float32)
-        before = None
-        for k, key in enumerate(_grams(data[lead:end])):
-            row = _find(model, key)
-            own = model.cost[row]
-            if k == 0:
-                leave = model.root_escape
-            else:
-                leave = np.zeros_like(bits)
-                leave[1:] = model.escape[before[:-1]]
-            bits = np.where(np.isnan(own), bits + leave, own)
-            before = row
-        total = np.vstack([np.zeros((1, bits.shape[1])), np.cumsum(bits[len(_PAD) :], 0, dtype=np.float64)])
         a, b = np.searchsorted(spans[:, 1], begin, "right"), np.searchsorted(spans[:, 0], end)  # blocks that reach into it
-        out[a:b] += total[np.minimum(spans[a:b, 1], end) - begin] - total[np.maximum(spans[a:b, 0], begin) - begin]
+        own = [(i, max(s, begin) - lead, min(e, end) - lead) for i, (s, e) in zip(range(a, b), spans[a:b].tolist()) if s < e]
+        if not own:
+            continue
+        grams = _grams(data[lead:end])
+        todo = np.concatenate([np.arange(s, e) for _, s, e in own])
+        bits = np.zeros((len(todo), len(model.languages)), np.float32)
+        left = np.arange(len(todo))
+        for k in range(ORDER, -1, -1):
+            row = _find(model, grams[k][todo[left]])
+            seen = row != unknown
+            bits[left[seen]] += model.cost[row[seen]]
+            left = left[~seen]
+            if not len(left):
+                break
+            bits[left] += model.escape[_find(model, grams[k - 1][todo[left] - 1])] if k else model.root
+        firsts = np.cumsum([0] + [e - s for _, s, e in own[:-1]])
+        out[[i for i, _, _ in own]] += np.add.reduceat(bits, firsts, axis=0, dtype=np.float64)
     return out
 
 
 def decide(model: Model, blocks: list[str]) -> list[tuple[str | None, float, int]]:
-    """Language, confidence and bytes of prose of each block."""
-    texts = [prose(b) for b in blocks]
-    some = [i for i, t in enumerate(texts) if t]
-    out: list[tuple[str | None, float, int]] = [(None, 0.0, 0)] * len(blocks)
+    """Language, confidence and bytes of prose of each block; equal blocks are read once."""
+    texts = {b: prose(b) for b in set(blocks)}
+    some = sorted({t for t in texts.values() if t})
+    found: dict[str, tuple[str | None, float, int]] = {"": (None, 0.0, 0)}
     if some and model.languages:
-        bits = code_lengths(model, [texts[i] for i in some])
+        bits = code_lengths(model, some)
         best = bits.argmin(1)
-        odds = np.exp2(-np.minimum((bits - bits.min(1, keepdims=True)) * TEMPER, 500)).sum(1)
-        for i, b, o in zip(some, best, odds):
-            out[i] = (model.languages[b], float(1 / o), len(texts[i].encode("utf-8", "replace")))
-    return out
+        odds = np.exp2(-np.minimum((bits - bits.min(1, keepdims=True)) * model.temper, 500)).sum(1)
+        for t, j, o in zip(some, best.tolist(), odds.tolist()):
+            data = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
+            strange = np.count_nonzero(~model.bytes_seen[data]) > STRANGE * len(data)
+            found[t] = (None, 0.0, len(data)) if strange else (model.languages[j], 1 / o, len(data))
+    return [found.get(texts[b], (None, 0.0, 0)) for b in blocks]
 
 
 def fit(docs: DataFrame, clean: DataFrame | None = None, per_language: int = 150, seed: int = 5) -> Model:
     """Train on about ``per_language`` labelled documents a language, and ``clean`` (``lang, text``) if given.
 
-    At most ``40 * per_language`` documents and ``40 * per_language`` clean texts reach the driver.
+    Documents are taken in the order of a seeded hash of their number, so every run takes the same; the driver gets no more than
+    twice ``per_language`` times the labels' languages, and as many clean texts.  A fifth of the blocks, by hash, is kept
+    apart to calibrate the confidence.
     """
     lang = label_language(F.col("lang"))
     labelled = docs.select(lang.alias("lang"), "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a code
     parts = 1 << 20
     keep = F.lit(False)
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(parts))
     for code, n in counts.items():
-        keep = keep | ((F.col("lang") == code) & (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(parts)) < max(1, int(parts * min(1.0, per_language / n)))))
-    rows = labelled.where(keep).select("lang", "text").limit(40 * per_language).collect()
+        keep = keep | ((F.col("lang") == code) & (place < max(1, int(parts * min(1.0, per_language / n)))))
+    most = 2 * per_language * max(1, len(counts))
+    rows = labelled.where(keep).withColumn("_place", place).orderBy("_place", "doc_id", "lang", "text").limit(most).collect()
     texts: dict[str, list[str]] = {}
     for r in rows:
         texts.setdefault(r.lang, []).extend(t for b in r.text.split("\n\n") if (t := prose(b)))
-    sure: dict[str, list[str]] = {}
     if clean is not None:
-        for r in clean.select(label_language(F.col("lang")).alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).limit(40 * per_language).collect():
-            sure.setdefault(r.lang, []).append(prose(r.text))
-    for code, more in sure.items():
-        texts.setdefault(code, []).extend(more)
-    texts = {k: v for k, v in texts.items() if v}
+        given = clean.select(label_language(F.col("lang")).alias("lang"), "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+        for r in given.orderBy("lang", "text").limit(most).collect():
+            texts.setdefault(r.lang, []).append(prose(r.text))
+    texts = {k: v for k, v in texts.items() if any(v)}
     if not texts:
-        return Model([], np.zeros(16, np.uint64), np.zeros(16, np.int32), np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
-    return train(purify(purify(texts)))
-
-
-def purify(texts: dict[str, list[str]], length: int = 4) -> dict[str, list[str]]:
-    """Without the blocks that look more like the texts of another label.
-
-    Whole strings of ``length`` bytes are compared by how often they occur among all of a label's, not after their context:
-    a share of wrongly labelled text is thereby diluted by its share, where a context that only it has would give it
-    full credit.
+        return Model([], np.zeros(16, np.uint64), np.zeros(16, np.int32), np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32), np.zeros(256, bool))
+    texts = purify(texts)
+    model = train(texts)
+    model.temper = calibrate(texts)
+    return model
+
+
+def calibrate(texts: dict[str, list[str]], piece: int = 12) -> float:
+    """The temper under which the languages of held-out pieces are likeliest; short pieces, as longer ones are hardly ever
+    mistaken."""
+    apart: list[tuple[str, str]] = []
+    rest: dict[str, list[str]] = {}
+    for lang, blocks in texts.items():
+        for b in blocks:
+            if zlib.crc32(b.encode("utf-8", "replace")) % 5 == 0:
+                apart += [(lang, b[i : i + piece]) for i in range(0, len(b) - piece + 1, piece)]
+            else:
+                rest.setdefault(lang, []).append(b)
+    if len(texts) < 2 or not apart:
+        return TEMPER
+    model = train({k: rest.get(k) or texts[k] for k in texts})
+    bits = code_lengths(model, [t for _, t in apart])
+    over = bits - bits[np.arange(len(apart)), [model.languages.index(lang) for lang, _ in apart]][:, None]
+    tempers = np.geomspace(0.005, 1.0, 40)
+    return float(min(tempers, key=lambda t: np.log2(np.exp2(np.clip(-over * t, -500, 500)).sum(1)).mean()))
+
+
+def purify(texts: dict[str, list[str]], length: int = 4, rounds: int = 6) -> dict[str, list[str]]:
+    """Without the blocks that look more like the texts of another label; repeated blocks count once.
+
+    Whole strings of ``length`` bytes are compared by how often they occur among all *other* blocks of a label, not after their
+    context: a share of wrongly labelled text is thereby diluted by its share, where a context that only it has would give it
+    full credit.  Rounds go on until no block is dropped, or ``rounds`` are done.
     """
-    languages = sorted(texts)
-    counted = []
-    for code in languages:
-        u, n = np.unique(np.concatenate([_strings(t, length) for t in texts[code]]), return_counts=True)
-        counted.append((u, np.log2(n.sum() / n), np.log2(n.sum()) + 3))
-    kept = {}
-    for j, code in enumerate(languages):
-        good = []
-        for t in texts[code]:
-            mine = _strings(t, length)
-            bits = [_bits(mine, *c, own=i == j) for i, c in enumerate(counted)]
-            if int(np.argmin(bits)) == j:
-                good.append(t)
-        kept[code] = good or texts[code]
+    blocks = {code: [np.unique(_strings(t, length), return_counts=True) for t in dict.fromkeys(texts[code])] for code in sorted(texts)}
+    kept = {code: list(dict.fromkeys(texts[code])) for code in blocks}
+    for _ in range(rounds):
+        counted = {}
+        for code, own in blocks.items():
+            u, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+            counted[code] = u, np.bincount(at, np.concatenate([n for _, n in own]), len(u))
+        dropped = 0
+        for code, own in blocks.items():
+            good = [min(counted, key=lambda other: (_bits(*b, *counted[other], other == code), other != code)) == code for b in own]
+            if any(good) and not all(good):
+                dropped += len(good) - sum(good)
+                blocks[code] = [b for b, g in zip(own, good) if g]
+                kept[code] = [t for t, g in zip(kept[code], good) if g]
+        if not dropped:
+            break
     return kept
 
 
@@ -287,32 +355,40 @@ def _strings(text: str, length: int) -> np.ndarray:
     return out
 
 
-def _bits(strings: np.ndarray, known: np.ndarray, cost: np.ndarray, unknown: float, own: bool) -> float:
+def _bits(strings: np.ndarray, times: np.ndarray, known: np.ndarray, counts: np.ndarray, own: bool) -> float:
+    """What a block's strings cost by their frequency in a label's blocks, without the block itself if it is one of them."""
+    total = max(2.0, counts.sum() - (times.sum() if own else 0))
+    if not len(known):
+        return float(times.sum()) * (np.log2(total) + 3)
     at = np.minimum(np.searchsorted(known, strings), len(known) - 1)
-    hit = known[at] == strings if len(known) else np.zeros(len(strings), bool)
-    each = np.where(hit, cost[at], unknown) if len(known) else np.full(len(strings), unknown)
-    if own:  # a string that only this block has says nothing for its label
-        each = np.where(each > unknown - 3.5, unknown, each)
-    return float(each.sum())
+    n = np.where(known[at] == strings, counts[at], 0) - (times if own else 0)
+    return float((times * np.where(n > 0, np.log2(total / np.maximum(n, 1)), np.log2(total) + 3)).sum())
 
 
 _PARAGRAPHS = pa.struct([("para", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("bytes", pa.int64())])
 
 
-def _label(model):
+def _label(model, most: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = model.value
         for batch in batches:
-            blocks: list[str] = []
-            of: list[int] = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                cut = text.split("\n\n") if text is not None else []
-                blocks += cut
-                of += [i] * len(cut)
-            rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, (lang, sure, size) in zip(of, decide(frozen, blocks)):
-                rows[i].append({"para": len(rows[i]), "lang": lang, "confidence": sure, "bytes": size})
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.list_(_PARAGRAPHS))], names=["doc_id", "label", "paragraphs"])
+            texts = batch.column("text").to_pylist()
+            begin = size = 0
+            for end, text in enumerate(texts, 1):  # slices of a batch by their characters
+                size += len(text or "")
+                if size >= most or end == len(texts):
+                    yield named(batch.slice(begin, end - begin), texts[begin:end], frozen)
+                    begin, size = end, 0
+
+    def named(batch: pa.RecordBatch, texts: list[str | None], frozen: Model) -> pa.RecordBatch:
+        cut = [text.split("\n\n") if text is not None else [] for text in texts]
+        decided = decide(frozen, [b for blocks in cut for b in blocks])
+        offsets = np.cumsum([0] + [len(blocks) for blocks in cut])
+        para = np.arange(len(decided)) - np.repeat(offsets[:-1], np.diff(offsets))
+        lang, sure, size = zip(*decided) if decided else ((), (), ())
+        flat = pa.StructArray.from_arrays([pa.array(para, pa.int32()), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(size, pa.int64())], fields=list(_PARAGRAPHS))
+        rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), rows], names=["doc_id", "label", "paragraphs"])
 
     return run
 
@@ -328,7 +404,7 @@ def label_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     docs = scan(spark, folder, "documents", "doc_id", "lang", "text")
-    return label_paragraphs(docs, fit(docs, table(spark, folder, "eval_item")))
+    return label_paragraphs(docs, fit(docs))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sluice.llm.langid import ORDER, code_lengths, decide, fit, label_language, label_paragraphs, prose, train
+from sluice.llm.langid import ORDER, calibrate, code_lengths, decide, fit, label_language, label_paragraphs, prose, purify, train
 
 EN = ["the player shows the next window of the stream", "please check whether the origin keeps the old time", "we saw that the encoder writes a gap after the break", "nobody knows why the window of the manifest is empty", "the segment list was written before the period ends"]
 DE = ["der spieler zeigt das nächste fenster des stroms", "bitte prüfen ob die quelle die alte zeit behält", "wir sehen dass der kodierer eine lücke nach der pause schreibt", "niemand weiß warum das fenster des manifests leer ist", "die segmentliste wurde vor dem ende der periode geschrieben"]
@@ -51,11 +51,22 @@ def test_code_lengths_are_those_of_the_context_tree():
 
 
 def test_labels(spark):
-    cases = {"en": "en", "EN": "en", "en-GB": "en", "en_US": "en", "eng": "en", "English": "en", " German ": "de", "deu": "de", "ger": "de", "日本語": "ja", "sv": "sv", "zh-Hant-TW": "zh", "xx": None, "und": None, "unknown": None, "": None, None: None, "e": None}
+    cases = {"en": "en", "EN": "en", "en-GB": "en", "en_US": "en", "eng": "en", "English": "en", " German ": "de", "deu": "de", "ger": "de", "日本語": "ja", "sv": "sv", "zh-Hant-TW": "zh", "norwegian": "no", "nor": "no", "ron": "ro", "rum": "ro", "Ελληνικά": "el", "Greek": "el", "heb": "he", "iw": "he", "hindi": "hi", "Englisch": "en", "anglais": "en", "Français": "fr", "xx": None, "und": None, "unknown": None, "": None, None: None, "e": None}
     df = spark.createDataFrame([(k,) for k in cases], "lang string")
     assert {r.lang: r.code for r in df.select("lang", label_language(F.col("lang")).alias("code")).collect()} == cases
 
 
+def test_other_scripts_and_repeats():
+    """Prose in a script that no label has is in none of the languages; a wrong label that comes twice is still found out."""
+    model = train({"en": EN, "de": DE})
+    assert decide(model, ["ο παίκτης δείχνει το επόμενο παράθυρο", EN[0], EN[0]])[0][0] is None
+    assert [x[0] for x in decide(model, [EN[0], "", EN[0]])] == ["en", None, "en"]
+    texts = {"en": EN * 3, "de": DE * 3 + [EN[1], EN[1], EN[2][:40]]}
+    kept = purify(texts)
+    assert not set(kept["de"]) & {*EN, EN[2][:40]} and kept["de"] and kept["en"]
+    assert 0.005 <= calibrate(kept) <= 1
+
+
 def test_prose():
     for block in ('<S t="1" d="2"/>\n<S t="3"/>', '{"a": ["text here"]}', "12 345\n6", "", "\n", "---", "`code here`", "https://a.example/x"):
         assert prose(block) == "", block
