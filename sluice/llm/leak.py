@@ -8,8 +8,7 @@
    values of A on that range; the basis is Q turned to the right singular vectors, of which those with ``energy`` of the
    sum are kept.  Shares are summed in a tree, so neither a task nor the driver gets one share of every task.
 3. *Cosine candidates.*  Passages of documents and of items are projected on the basis; an item is a candidate for a
-   document where a cosine of two passages reaches ``least_cosine``.  The leading components and the length of the rest
-   bound each cosine, so most pairs are settled by a short product.  A passage of documents with fewer than ``least_known``
+   document where a cosine of two passages reaches ``least_cosine``.  A passage of documents with fewer than ``least_known``
    words of the item vocabulary is not projected: it cannot hold a run that the check accepts.
 4. *Candidates by shared words.*  No cosine above zero is sure for every run the check accepts: what stands beside a run in
    its passage can weigh more than the run.  So an item is also a candidate where the document shares ``least_exact`` words
@@ -113,7 +112,7 @@ def weighted(table: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.vstack([table * idf[:, None], np.zeros((1, table.shape[1]), table.dtype)]).astype(np.float32)
 
 
-def by_stride(flat: np.ndarray, rows: np.ndarray, stride: int, at_once: int = 1 << 13) -> np.ndarray:
+def by_stride(flat: np.ndarray, rows: np.ndarray, stride: int, at_once: int = 1 << 11) -> np.ndarray:
     """Sums of the rows of each stride's words; each word is looked up once however many passages it is in."""
     words = flat[: len(flat) // stride * stride].reshape(-1, stride)
     return np.concatenate([rows[words[a : a + at_once]].sum(1) for a in range(0, len(words), at_once)] or [np.zeros((0, rows.shape[1]), np.float32)])
@@ -331,16 +330,10 @@ class Checker:
 class Retriever:
     """Cosine search of passages among the items' passages."""
 
-    def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray, lead: int = 48):
+    def __init__(self, items: Items, idf: np.ndarray, basis: np.ndarray):
         self.items, self.s, self.rows = items, items.settings, weighted(basis, idf)
         square = np.stack(items.passages) if items.passages else np.zeros((0, 1), np.int32)
         self.latent = unit(np.concatenate([self.rows[square[a : a + 1024]].sum(1) for a in range(0, len(square), 1024)] or [np.zeros((0, basis.shape[1]), np.float32)]))
-        self.lead = lead if basis.shape[1] > lead + lead // 4 else basis.shape[1]
-        self.short = self._short(self.latent).T.copy()
-
-    def _short(self, z: np.ndarray) -> np.ndarray:
-        """The leading components and the length of the rest: a product of two such rows is never below the cosine."""
-        return np.c_[z[:, : self.lead], np.linalg.norm(z[:, self.lead :], axis=1)]
 
     def candidates(self, t: Texts) -> dict[tuple[int, int], float]:
         """The best cosine of each ``document, item`` that reaches the threshold."""
@@ -351,10 +344,10 @@ class Retriever:
         of = t.owner[enough]
         best: dict[tuple[int, int], float] = {}
         for a in range(0, len(z), 512):
-            r, c = np.nonzero(self._short(z[a : a + 512]) @ self.short >= s.least_cosine - 1e-5)
-            cosine = np.einsum("ij,ij->i", z[a + r], self.latent[c]) if len(r) else np.zeros(0)
-            for d, k, x in zip(of[a + r].tolist(), self.items.owner[c].tolist(), cosine.tolist()):
-                if x >= s.least_cosine and x > best.get((d, k), 0.0):
+            cosine = z[a : a + 512] @ self.latent.T
+            r, c = np.nonzero(cosine >= s.least_cosine)
+            for d, k, x in zip(of[a + r].tolist(), self.items.owner[c].tolist(), cosine[r, c].tolist()):
+                if x > best.get((d, k), 0.0):
                     best[d, k] = x
         return best
 

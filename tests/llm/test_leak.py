@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.llm.leak import Retriever, Settings, find_leaks, fit_basis, holds_runs, lay, least_exact, least_shared, load_items
+from sluice.llm.leak import Settings, find_leaks, fit_basis, holds_runs, lay, least_exact, least_shared, load_items
 
 
 def plain_check(item, doc, least, one_in):
@@ -45,8 +45,8 @@ def test_every_run_is_inside_a_passage():
             assert all(any(set(own[a : a + 16]) <= w for w in mine) for a in range(max(0, n - 16 + 1))), n
 
 
-def test_singular_values_and_bound(spark):
-    """The values are those of the dense TF-IDF matrix, and the short product never hides a cosine that counts."""
+def test_singular_values(spark):
+    """The values are those of the dense TF-IDF matrix."""
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(30)]
     items = spark.createDataFrame([(i, " ".join(rng.choices(vocab, k=40))) for i in range(6)], "item_id long, text string")
@@ -68,10 +68,6 @@ def test_singular_values_and_bound(spark):
             rows.append(row)
     dense = np.linalg.svd(np.array(rows), compute_uv=False)
     assert np.allclose(values[: len(dense)], dense[: len(values)], rtol=1e-2)
-    some = Settings(least_cosine=0.3)
-    held.settings = some
-    whole, short = Retriever(held, idf, basis, lead=1000).candidates(lay(codes, 24, 8)), Retriever(held, idf, basis, lead=5).candidates(lay(codes, 24, 8))
-    assert whole.keys() == short.keys() and len(whole) > 10
 
 
 def edited(rng, words, edits):
