@@ -7,9 +7,9 @@ from sluice.operators.flatten import p4_found, p4_tables
 from sluice.operators.instants import p1_found, p1_zones
 from sluice.operators.intervals import p2_found
 from sluice.operators.rejects import p3_found, p3_loaded
-from sluice.operators.replay import p6_found
+from sluice.operators.replay import p6_committed, p6_found, p6_watermark
 
-QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_zones": p1_zones, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_tables": p4_tables, "p5_found": p5_found, "p6_found": p6_found, "p6_committed": p6_committed, "p6_watermark": p6_watermark}
 
 SQL = {
     "p2_found": """
@@ -73,4 +73,10 @@ pi AS (
 SELECT DISTINCT doc_id, kind, path, parent_path, value FROM program
 UNION SELECT doc_id, kind, path, parent_path, value FROM ns
 UNION SELECT doc_id, 'value', path, parent, coalesce(map_extract(CAST(node AS MAP(VARCHAR, JSON)), '$value')[1]->>'$', '') FROM walk WHERE json_type(node) = 'OBJECT' AND list_contains(json_keys(node), '$value')""",
+    "p6_committed": """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS mpd_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events),
+k AS (SELECT *, min(event_id) OVER (PARTITION BY mpd_id) AS first FROM e WHERE event_id % 23 <> 0),
+g AS (SELECT mpd_id, min(event_id) AS gap FROM k WHERE before % 23 = 0 AND event_id > first GROUP BY mpd_id)
+SELECT k.mpd_id, CAST(event_id AS VARCHAR) AS rep_id, event_id AS bandwidth FROM k LEFT JOIN g USING (mpd_id) WHERE gap IS NULL OR event_id < gap
+UNION ALL SELECT DISTINCT mpd_id, 'r', 0 FROM e""",
 }

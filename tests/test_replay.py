@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.selectors import parse_selector
-from sluice.operators.replay import ANY, NO_ID, lanes, replay, touched_periods, with_instant
+from sluice.operators.replay import ANY, NO_ID, Replay, commits, documents, in_order, lanes, replay, touched_periods, with_instant
 
 OPS = "mpd_id string, patch_id long, instant long, op_idx int, op string, sel string, pos string, attr string, payload_name string, payload_json string, value string, ws string, received_at timestamp, kind string"
 REP = "mpd_id string, period_id string, as_id int, as_ord int, ord int, rep_id string, bandwidth long, width int, height int, codecs string, kind string"
@@ -153,6 +153,25 @@ def test_watermark_and_gaps(spark):
     assert last() == [30] and last(watermark=20) == [20] and last(watermark=15) == [10] and last(hold_gaps=True) == [10]
 
 
+def test_gaps_by_predecessor(spark):
+    """A document whose predecessor is missing, and all after it, wait; a first document has none."""
+    rows = [("a", 10, 5, [0]), ("a", 20, 10, [1, 0]), ("a", 20, None, [1]), ("a", 40, 30, [0]), ("a", 50, 40, [0]), ("b", 10, None, [0]), ("b", 20, None, [0, 2]), ("c", 10, 1, [0]), ("c", 20, None, [0]), ("c", 30, 20, [0]), (None, 1, None, [0]), (None, 3, 2, [0]), ("d", None, 1, [0]), ("e", 1, None, None)]
+    got = commits(documents(spark.createDataFrame(rows, "mpd_id string, instant long, before long, numbers array<int>"))).collect()
+    assert {r.mpd_id: (r.documents, r.committed, r.held, r.watermark, r.gap) for r in got} == {"a": (4, 2, 2, 20, 40), "b": (2, 1, 1, 10, 20), "c": (3, 3, 0, 30, None), None: (2, 1, 1, 1, 3), "e": (1, 0, 1, None, 1)}
+
+
+def test_holes_are_numbers():
+    """An AdaptationSet at a far place costs nothing; places within the hole can be used, and are undone."""
+    state = Replay()
+    state.load("p", 1, 1, "r", 5, None, None, None)
+    state.load("p", 9, 2_000_000_000, "s", 6, None, None, None)
+    add = lambda i, place: (i, None, 1, "add", f"/MPD/Period[1]/AdaptationSet[{place}]", None, None, "Representation", f'{{"id":"n{i}","bandwidth":{place}}}', None)
+    assert state.document([add(0, 1_000_000)]) and not state.document([add(1, 7), add(2, 2_000_000_001)]) and state.document([add(3, 2_000_000_000), add(4, 2)])
+    assert list(state.rows()) == [("p", 1, "r", 5), ("p", None, "n4", 2), ("p", None, "n0", 1_000_000), ("p", 9, "s", 6), ("p", 9, "n3", 2_000_000_000)]
+    assert len(state.root.children[0].children) < 10
+    assert [o[1] for o in in_order([(1, 5, 1), (0, None, 2), (1, 4, 3), (0, 1, 1)])] == [None, 4]
+
+
 def test_edges(spark):
     reps = spark.createDataFrame([("m", "p", 1, 2, 1, "r", 1, None, None, None, ""), (None, None, None, None, None, None, None, None, None, None, None)], REP)
     rep = "/MPD/Period[1]/AdaptationSet[2]/Representation[1]"
