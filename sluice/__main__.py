@@ -57,21 +57,26 @@ def main(args: list[str] | None = None) -> int:
     else:
         rows = read_manifests(spark, a.input, only=a.only)
         if a.mode == "roundtrip":
-            from pyspark.sql import functions as F
+            from sluice.session import cut
 
-            done = validate_roundtrip(rows, schema=types).withColumn("ms", F.lit(0)).cache()
-            report(done).orderBy("category").show(50, False)
-            bad = failures(done)
-            bad.show(50, False)
-            return int(bad.count() > 0)
+            done = cut(validate_roundtrip(rows, schema=types).selectExpr("category", "doc_id", "success", "error", "ms_to_json + ms_to_xml AS ms"))
+            _print(report(done).orderBy("category"))
+            return int(_print(failures(done).orderBy("category", "doc_id")) > 0)
         rows = convert.to_json(rows, schema=types, pretty=not a.minified)
         if a.output:
             write_json(rows.where("json is not null"), a.output, minified=a.minified, gzip=a.gzip)
     bad = rows.where("error is not null").select("doc_id", "error")
     if not a.output:
-        rows.show(20, False)
-    bad.show(20, False)
-    return int(bad.limit(1).count() > 0)
+        _print(rows.where("error is null").select("doc_id", "xml" if a.mode == "json2mpd" else "json"))
+    return int(_print(bad, sys.stderr) > 0)
+
+
+def _print(rows, to=None) -> int:
+    """All rows as lines of their columns, partition after partition; how many there were."""
+    n = 0
+    for n, r in enumerate(rows.toLocalIterator(), 1):
+        print(*r, sep="\t", file=to)
+    return n
 
 
 if __name__ == "__main__":

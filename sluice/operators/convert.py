@@ -7,6 +7,7 @@ does whole documents; each row gets its result or its error, and no bad document
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -123,6 +124,8 @@ class Reader:
                 known = c.children.get(child.local) if c else None
                 t = self.schema.type_of(known) if known else None
                 here = f"{path}/{child.local}"
+                if c and not known:
+                    self.errors.append({"path": here, "msg": "the schema has no such element; its values stay text"})
                 if isinstance(t, Simple):
                     self.declare(child)
                     value: Any = self.leaf(child.text, t, here)
@@ -326,16 +329,18 @@ def read_json(text: str) -> Any:
 _ERRORS = pa.list_(pa.struct([("path", pa.string()), ("msg", pa.string())]))
 
 
-def _per_row(column: str, make, out_name: str):
-    """An Arrow stage that adds ``out_name``, ``error`` and ``errors`` by ``make(text) -> (text, errors)``."""
+def _per_row(column: str, make, out_name: str, timed: str | None):
+    """An Arrow stage that adds ``out_name``, ``error`` and ``errors`` by ``make(text) -> (text, errors)``, and the time it took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list[str | None] = []
             error: list[str | None] = []
             errors: list[list] = []
+            took: list[float] = []
             for text in batch.column(column).to_pylist():
                 got, why, bad = None, None, []
+                began = time.perf_counter()
                 try:
                     if text is None:
                         why = "no text"
@@ -346,31 +351,33 @@ def _per_row(column: str, make, out_name: str):
                 made.append(got)
                 error.append(why)
                 errors.append(bad)
+                took.append(1000 * (time.perf_counter() - began))
             cols = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.string()), pa.array(error, pa.string()), pa.array(errors, _ERRORS)], names=[*batch.schema.names, out_name, "error", "errors"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(made, pa.string()), pa.array(error, pa.string()), pa.array(errors, _ERRORS), *([pa.array(took)] if timed else [])], names=[*batch.schema.names, out_name, "error", "errors", *([timed] if timed else [])])
 
     return run
 
 
-def _with(df: DataFrame, column: str, make, out_name: str) -> DataFrame:
+def _with(df: DataFrame, column: str, make, out_name: str, timed: str | None) -> DataFrame:
     ship(df.sparkSession)
-    df = df.drop(out_name, "error", "errors")
+    df = df.drop(out_name, "error", "errors", *([timed] if timed else []))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(_per_row(column, make, out_name), f"{ddl}, `{out_name}` string, error string, errors array<struct<path string, msg string>>")
+    return df.mapInArrow(_per_row(column, make, out_name, timed), f"{ddl}, `{out_name}` string, error string, errors array<struct<path string, msg string>>" + (f", `{timed}` double" if timed else ""))
 
 
-def to_json(df: DataFrame, xml: str = "xml", out: str = "json", schema: Schema | None = None, pretty: bool = False) -> DataFrame:
-    """Add the JSON form, ``error`` (why there is none) and ``errors`` (values that do not fit their type)."""
+def to_json(df: DataFrame, xml: str = "xml", out: str = "json", schema: Schema | None = None, pretty: bool = False, timed: str | None = None) -> DataFrame:
+    """Add the JSON form, ``error`` (why there is none) and ``errors`` (values that do not fit their type); ``timed`` names a
+    column for the milliseconds of each document."""
     types = schema or model()
 
     def make(text: str) -> tuple[str, list]:
         doc, errors = xml_to_json(text, types)
         return dumps(doc, pretty), errors
 
-    return _with(df, xml, make, out)
+    return _with(df, xml, make, out, timed)
 
 
-def to_xml(df: DataFrame, column: str = "json", out: str = "xml", schema: Schema | None = None, declaration: bool = True, indent: str | None = "  ") -> DataFrame:
+def to_xml(df: DataFrame, column: str = "json", out: str = "xml", schema: Schema | None = None, declaration: bool = True, indent: str | None = "  ", timed: str | None = None) -> DataFrame:
     """Add the XML form, ``error`` and ``errors`` (here: warnings)."""
     types = schema or model()
 
@@ -381,4 +388,4 @@ def to_xml(df: DataFrame, column: str = "json", out: str = "xml", schema: Schema
         xml, warnings = json_to_xml(doc, types, declaration, indent)
         return xml, [{"path": "", "msg": w} for w in warnings]
 
-    return _with(df, column, make, out)
+    return _with(df, column, make, out, timed)

@@ -97,7 +97,12 @@ def canonical_value(name: Column, value: Column, booleans: tuple[str, ...], numb
     """White space collapsed; 1/0 of booleans as true/false; numbers by value (a leading number counts)."""
     tight = F.trim(F.regexp_replace(value, r"\s+", " "))
     number = F.regexp_extract(tight, r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0)
-    as_number = F.regexp_replace(number.try_cast("double").try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    sign, whole, part = (F.regexp_extract(number, r"^([+-]?)0*(\d*)(?:\.(\d*?)0*)?$", i) for i in (1, 2, 3))
+    # digits are kept as they are, so numbers beyond a double's precision stay unlike; only an exponent needs arithmetic
+    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    exact = F.when((sign == "-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    scaled = F.regexp_replace(number.try_cast("double").try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    as_number = F.when(number.rlike("[eE]"), F.coalesce(F.nullif(scaled, F.lit("")), number)).otherwise(exact)
     return (
         F.when(name.isin(*booleans) & tight.isin("1", "true"), "true")
         .when(name.isin(*booleans) & tight.isin("0", "false"), "false")

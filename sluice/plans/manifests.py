@@ -196,11 +196,13 @@ def _event_ops(spark: SparkSession, folder: str):
 
 
 def patch_apply(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user's events as a log of patches; the last value of a field, and how many were applied or found nothing."""
+    """Each user's events as a log of patches: the Representations left, in order, the last value of a field, and how many patches
+    were applied and how many found nothing."""
     docs, ops = _event_ops(spark, folder)
     got = patchdoc.replay_documents(docs, ops)
     group = F.get_json_object("json", "$.Period[0].AdaptationSet[0].group").cast("bigint")
-    return got.select(F.col("mpd_id").alias("user_id"), group.alias("last_click"), F.get_json_object("json", "$.id").alias("id"), (F.col("applied") + F.col("rejected")).alias("patches"))
+    reps = F.transform(F.from_json(F.get_json_object("json", "$.Period[0].AdaptationSet[0].Representation"), "array<struct<id:string>>"), lambda r: r["id"])
+    return got.select(F.col("mpd_id").alias("user_id"), group.alias("last_click"), F.get_json_object("json", "$.id").alias("id"), "applied", "rejected", F.array_join(reps, ",").alias("reps"))
 
 
 # Selectors, usable or not.
@@ -237,6 +239,58 @@ def xlink_resolve(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("doc_id", (F.get("place", F.lit(1)) + 1).alias("nth"), F.get_json_object("body", "$.id").alias("id"), F.get_json_object("body", "$.start").alias("start"))
 
 
+def xlink_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Remote elements taken from manifests, one a customer, and put back: a Period behind a chain of three links, for every
+    seventh a cycle; an AdaptationSet that is missing, becomes two, or one."""
+    c = table(spark, folder, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    x, y = (k % 7).cast("string"), (k % 3).cast("string")
+    json = text('{"profiles":"p","minBufferTime":"PT1S","Period":[{"id":"s","xlink":{"href":"http://c/1/', x, '"}},{"id":"p2","AdaptationSet":[{"id":1},{"xlink":{"href":"http://a/', y, '"}}]}]}')
+    n = spark.range(7).select(F.col("id").cast("string").alias("x"))
+    link = lambda to, more="": text('{"xlink":{"href":"http://c/', to, "/", F.col("x"), '"}' + more + "}")
+    chain = [("1", link("2", ',"start":"PT1S"')), ("2", F.when(F.col("x") == "0", link("1")).otherwise(link("3"))), ("3", text('{"id":"end-', F.col("x"), '"}'))]
+    remote = None
+    for step, body in chain:
+        one = n.select(text(f"http://c/{step}/", F.col("x")).alias("href"), F.lit(200).alias("status"), body.alias("body"))
+        remote = one if remote is None else remote.unionByName(one)
+    remote = remote.unionByName(spark.createDataFrame([("http://a/0", 404, "{}"), ("http://a/1", 200, '[{"id":5},{"id":6}]'), ("http://a/2", 200, '{"id":7}')], "href string, status int, body string"))
+    got = xlink.resolve_manifests(c.select(k.cast("string").alias("doc_id"), json.alias("json")), remote)
+    m = F.from_json("json", "struct<Period:array<struct<id:string,start:string,AdaptationSet:array<struct<id:string>>>>>")["Period"]
+    ids = lambda items: F.array_join(F.transform(items, lambda e: e["id"]), ",")
+    return got.select("doc_id", ids(m).alias("periods"), F.get(m, F.lit(0))["start"].alias("start"), ids(F.element_at(m, -1)["AdaptationSet"]).alias("sets"))
+
+
+def roundtrip_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifests that survive the round trip and such that cannot: a prefix bound to two namespaces, a text that is no XML, and texts
+    that share a doc_id with others."""
+    c = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    k = F.col("c_custkey")
+    good = F.concat(F.lit(f'<MPD xmlns="{NS}" xmlns:e="urn:e" profiles="p" minBufferTime="PT1S"><Period><Preselection preselectionComponents="1 2" id="'), k.cast("string"), F.lit('"/><AdaptationSet e:note="'), F.col("c_mktsegment"), F.lit('" id="1"><e:x>t</e:x></AdaptationSet></Period></MPD>'))
+    xml = F.when(k % 4 == 1, F.replace(good, F.lit("<e:x>"), F.lit('<e:x xmlns:e="urn:f">'))).when(k % 4 == 2, F.substring(good, 1, 60)).otherwise(good)
+    key = F.when(k % 4 == 3, F.floor(k / 40)).otherwise(k).cast("string")
+    got = roundtrip.validate_roundtrip(c.select(key.alias("doc_id"), (k % 4).cast("string").alias("category"), xml.alias("xml")))
+    return got.groupBy("category").agg(F.count("*").alias("total"), F.count_if("success").alias("passed"))
+
+
+def schema_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements outside the usual tree come out as arrays and typed values too."""
+    c = table(spark, folder, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    xml = F.concat(
+        F.lit(f'<MPD xmlns="{NS}" profiles="p" minBufferTime="PT1S"><Metrics metrics="m"><Reporting schemeIdUri="u"/></Metrics><Period><EmptyAdaptationSet id="'), k.cast("string"), F.lit('"/>'),
+        F.repeat(F.lit('<Preselection preselectionComponents="1 2 3"/>'), (k % 3 + 1).cast("int")), F.lit('<AdaptationSet><Representation id="r" bandwidth="1"><SegmentList duration="'), k.cast("string"), F.lit('">'),
+        F.repeat(F.lit('<SegmentURL media="a"/>'), (k % 2 + 1).cast("int")), F.lit("</SegmentList></Representation></AdaptationSet></Period></MPD>"),
+    )
+    m = relations.typed(convert.to_json(c.select(k.cast("string").alias("doc_id"), xml.alias("xml"))).select("doc_id", "json"))
+    period = F.element_at("mpd.Period", 1)
+    segments = F.element_at(F.element_at(period["AdaptationSet"], 1)["Representation"], 1)["SegmentList"]
+    return m.select(
+        "doc_id", F.size("mpd.Metrics").alias("metrics"), F.element_at(period["EmptyAdaptationSet"], 1)["id"].cast("bigint").alias("empty_id"), F.size(period["Preselection"]).alias("preselections"),
+        F.size(F.element_at(period["Preselection"], 1)["preselectionComponents"]).alias("components"), segments["duration"].cast("bigint").alias("duration"), F.size(segments["SegmentURL"]).alias("urls"),
+    )
+
+
 def category_report(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "roundtrip").select("doc_id", "category", "success", (F.col("ms_to_json") + F.col("ms_to_xml") + F.col("ms_compare")).alias("ms")).distinct()
     return roundtrip.report(rows)
@@ -369,7 +423,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         manifest_representations, bandwidth_by_set, coerce_types, vector_attr, uint64_exact, array_order, escape_roundtrip, normalize_compare, line_differences, ns_registry, ns_violations, ns_registry_customers, ns_violations_customers, selector_predicates, patch_apply, patch_reject,
-        xlink_resolve, category_report, malformed_reject, roundtrip_corpus, child_reorder, facets_errors, duration_parse, segment_runs, json_minify, tag_parts, url_names, mpd_json_values, json_validation, descriptors, patch_xml, model_fields,
+        xlink_resolve, xlink_manifest, roundtrip_mixed, schema_elements, category_report, malformed_reject, roundtrip_corpus, child_reorder, facets_errors, duration_parse, segment_runs, json_minify, tag_parts, url_names, mpd_json_values, json_validation, descriptors, patch_xml, model_fields,
     )
 }
 
@@ -406,10 +460,18 @@ SQL = {
     "selector_predicates": f"""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM (SELECT DISTINCT o_custkey, o_orderkey {_REPS}))
       SELECT CAST(o_custkey AS VARCHAR) AS doc_id, max(CASE WHEN k = 2 THEN CAST(o_orderkey AS VARCHAR) END) AS second,
       CAST(nullif(sum(CASE WHEN k = 1 THEN (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N') END), 0) AS INTEGER) AS reps FROM p GROUP BY o_custkey""",
-    "patch_apply": """SELECT CAST(user_id AS VARCHAR) AS user_id, arg_max(event_id, event_id) FILTER (event_type = 'click') AS last_click, max(CASE WHEN event_type NOT IN ('signup', 'purchase', 'error', 'click') THEN 'v' END) AS id, CAST(count(*) AS INTEGER) AS patches FROM events GROUP BY user_id""",
+    "patch_apply": """WITH o AS (SELECT user_id, count(*) AS n, list([event_type, CAST(event_id AS VARCHAR)] ORDER BY event_id) AS ops, arg_max(event_id, event_id) FILTER (event_type = 'click') AS last_click,
+        max(CASE WHEN event_type NOT IN ('signup', 'purchase', 'error', 'click') THEN 'v' END) AS id FROM events GROUP BY user_id),
+      r AS (SELECT *, list_reduce(list_prepend(['0', 'a'], ops), lambda s, o: CASE o[1] WHEN 'signup' THEN list_append(s, o[2]) WHEN 'purchase' THEN [s[1], o[2]] || s[2:]
+        WHEN 'error' THEN CASE WHEN len(s) > 1 THEN [s[1]] || s[3:] ELSE [CAST(CAST(s[1] AS INTEGER) + 1 AS VARCHAR)] END ELSE s END) AS s FROM o)
+      SELECT CAST(user_id AS VARCHAR) AS user_id, last_click, id, CAST(n - CAST(s[1] AS INTEGER) AS INTEGER) AS applied, CAST(s[1] AS INTEGER) AS rejected, array_to_string(s[2:], ',') AS reps FROM r""",
     "patch_reject": f"SELECT c_custkey, c_custkey % {len(SELECTORS)} IN ({_USABLE}) AS applied FROM customer",
     "xlink_resolve": """SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, 1 AS nth, n_name AS id, r_name AS start FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey > 1
       UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 2, 'second', NULL FROM nation WHERE n_regionkey = 2""",
+    "xlink_manifest": """SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 7 > 0 THEN 'end-' || (c_custkey % 7) || ',' ELSE '' END || 'p2' AS periods, CASE WHEN c_custkey % 7 > 0 THEN 'PT1S' END AS start,
+      CASE c_custkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '1,5,6' ELSE '1,7' END AS sets FROM customer""",
+    "roundtrip_mixed": "SELECT CAST(c_custkey % 4 AS VARCHAR) AS category, count(*) AS total, count(*) FILTER (c_custkey % 4 IN (0, 3)) AS passed FROM customer GROUP BY ALL",
+    "schema_elements": """SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 1 AS metrics, CAST(c_custkey AS BIGINT) AS empty_id, CAST(c_custkey % 3 + 1 AS INTEGER) AS preselections, 3 AS components, CAST(c_custkey AS BIGINT) AS duration, CAST(c_custkey % 2 + 1 AS INTEGER) AS urls FROM customer""",
     "category_report": """WITH r AS (SELECT DISTINCT doc_id, category, success, ms_to_json + ms_to_xml + ms_compare AS ms FROM roundtrip)
       SELECT CASE WHEN grouping(category) = 1 THEN '(all)' ELSE coalesce(category, '(none)') END AS category, count(*) AS total, count(*) FILTER (coalesce(success, false)) AS passed, count(*) FILTER (NOT coalesce(success, false)) AS failed, CAST(sum(coalesce(ms, 0)) AS BIGINT) AS ms FROM r GROUP BY ROLLUP (category)""",
     "malformed_reject": "SELECT 'raw' AS kind, 0::BIGINT AS converted, count(*) AS rejected FROM documents UNION ALL SELECT 'wrapped', count(*), 0 FROM documents",

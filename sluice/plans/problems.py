@@ -79,4 +79,14 @@ k AS (SELECT *, min(event_id) OVER (PARTITION BY mpd_id) AS first FROM e WHERE e
 g AS (SELECT mpd_id, min(event_id) AS gap FROM k WHERE before % 23 = 0 AND event_id > first GROUP BY mpd_id)
 SELECT k.mpd_id, CAST(event_id AS VARCHAR) AS rep_id, event_id AS bandwidth FROM k LEFT JOIN g USING (mpd_id) WHERE gap IS NULL OR event_id < gap
 UNION ALL SELECT DISTINCT mpd_id, 'r', 0 FROM e""",
+    "p3_loaded": """
+WITH k AS (SELECT raw, string_split(regexp_replace(raw, '"[^"]*"', chr(1), 'g'), ',') AS s FROM conversion_raw WHERE raw IS NOT NULL),
+v AS (SELECT list_transform(regexp_extract_all(',' || raw, ',("(?:[^"]|"")*"|[^",]*)', 1), lambda x: CASE WHEN x LIKE '"%' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM k
+  WHERE len(s) = 8 AND len(list_filter(s, lambda x: regexp_matches(x, '["\\r\\n]') OR (contains(x, chr(1)) AND trim(x, chr(1)) <> ''))) = 0),
+w AS (SELECT f, regexp_extract(trim(f[7], E' \\t\\r\\n'), '^([0-9]{4}-[0-9]{2}-[0-9]{2})T(([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?|24:00:00(\\.0+)?)(Z|[+-](0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)?$', 1) AS day,
+  list_transform(f[4:5], lambda x: CASE WHEN x = '' THEN 0 WHEN json_valid(x) AND NOT regexp_matches(x, ',\\s*\\]\\s*$') AND json_type(CASE WHEN json_valid(x) THEN x ELSE '{}' END) = 'ARRAY'
+    AND len(list_filter(CAST(CASE WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x ELSE '{}' END) = 'ARRAY' THEN x ELSE '[]' END AS JSON[]), lambda y: coalesce(json_type(y), 'NULL') <> 'VARCHAR')) = 0 THEN CAST(json_array_length(x) AS BIGINT) END) AS sizes FROM v)
+SELECT f[2] AS category, count(*) AS records, count(*) FILTER (trim(f[3], E' \\t\\r\\n') IN ('true', '1')) AS passed, CAST(sum(sizes[1] + sizes[2]) AS BIGINT) AS errors, CAST(coalesce(sum(try_cast(nullif(f[8], '') AS BIGINT)), 0) AS BIGINT) AS ms FROM w
+WHERE f[1] <> '' AND f[2] IN ('dash-js', 'dash-if', 'iso-annex-G', 'iso-annex-H', 'iso-annex-K', 'misc') AND trim(f[3], E' \\t\\r\\n') IN ('true', 'false', '1', '0') AND sizes[1] IS NOT NULL AND sizes[2] IS NOT NULL
+  AND try_cast(nullif(day, '') AS DATE) IS NOT NULL AND (f[8] = '' OR (regexp_full_match(f[8], '[0-9]+') AND try_cast(f[8] AS BIGINT) IS NOT NULL)) GROUP BY f[2]""",
 }

@@ -99,7 +99,13 @@ def generate(schema: Schema, root: str, options: Options = Options()) -> dict[st
             props[options.attribute_prefix + a.name] = one
             if a.required:
                 needed.append(options.attribute_prefix + a.name)
-        for e in c.children.values():
+        if c.repeating_choice and all(e.choice is not None for e in c.children.values()):
+            # the order of unlike options matters, so they are items of one array
+            one = [{"type": "object", "required": [e.name], "properties": {e.name: ref(schema.type_of(e))}, "additionalProperties": False} for e in c.children.values()]
+            other = [{"type": "object", "not": {"anyOf": [{"required": [e.name]} for e in c.children.values()]}}] if c.any_element else []
+            props["operations"] = {"type": "array", "items": {"oneOf": one + other}, **({"minItems": 1} if c.choice_required else {})}
+            needed += ["operations"] if c.choice_required else []
+        for e in () if "operations" in props and c.repeating_choice else c.children.values():
             if not (base and e.name in base.children):
                 props[e.name] = child(e)
                 if e.least:

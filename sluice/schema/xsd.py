@@ -65,6 +65,7 @@ class Complex:
     any_attribute: bool = False
     base: str | None = None
     repeating_choice: bool = False
+    choice_required: bool = False
 
     @cached_property
     def order(self) -> dict[str, int]:
@@ -226,7 +227,7 @@ class Schema:
                 self._choices += 1
                 options = [x for x in p if x.tag != f"{XS}annotation"]
                 if high is None or high > 1:
-                    out.repeating_choice = True
+                    out.repeating_choice, out.choice_required = True, low > 0
                 self._particles(p, out, self._choices if len(options) > 1 and high == 1 else choice if len(options) == 1 else 0, 0 if len(options) > 1 else low, high)
             elif kind == "group":
                 self._particles(self.roots["group"][local(p.get("ref"))], out, choice, low, high)

@@ -115,6 +115,14 @@ def test_fingerprints(spark):
         ('<a width="1"/>', '<a width="2"/>', False),
         ("<a><b/></a>", "<a/>", False),
         ('<a xmlns="u"/>', '<a xmlns="v"/>', False),
+        ('<a t="9223372036854775807"/>', '<a t="9223372036854775806"/>', False),
+        ('<a t="18446744073709551615"/>', '<a t="018446744073709551615.0"/>', True),
+        ('<a maxPlayoutRate="0.1234567890123"/>', '<a maxPlayoutRate="0.1234567890124"/>', False),
+        ('<a maxPlayoutRate="-0.0"/>', '<a maxPlayoutRate="0"/>', True),
+        ('<a maxPlayoutRate=".5"/>', '<a maxPlayoutRate="0.50"/>', True),
+        ('<a maxPlayoutRate="1e1"/>', '<a maxPlayoutRate="10"/>', True),
+        ('<a width="+7px"/>', '<a width="7"/>', True),
+        ('<a width=""/>', '<a width="0"/>', False),
     ]
     df = spark.createDataFrame([(f"{i}{s}", p[k]) for i, p in enumerate(pairs) for k, s in enumerate("lr")], "doc_id string, xml string")
     got = {r.doc_id: r.hash for r in fingerprint(nodes(df)).collect()}
@@ -131,3 +139,18 @@ def test_round_trips_and_report(spark):
 
     rep = {r.category: (r.total, r.passed, r.failed) for r in report(got.withColumn("ms", F.lit(1))).collect()}
     assert rep["(all)"][0] == 4 and rep["x"] == (2, 1, 1) and failures(got).count() == rep["(all)"][2]
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    rows = [("a", "x", mpd('<Period id="1"/>')), ("a", "x", mpd('<Period id="2"/>')), ("a", "x", "<bad"), (None, "x", mpd()), ("b", "x", None)]
+    got = validate_roundtrip(spark.createDataFrame(rows, "doc_id string, category string, xml string")).collect()
+    assert sorted((str(r.doc_id), r.success) for r in got) == [("None", True), ("a", False), ("a", True), ("a", True), ("b", False)]
+    assert all(r.ms_to_json >= 0 and r.ms_to_xml >= 0 for r in got)
+
+
+def test_elements_beyond_the_usual_tree():
+    doc, errors = xml_to_json(mpd('<Period><Preselection preselectionComponents="1 2"/><EmptyAdaptationSet id="4"/><Strange bandwidth="5"/><Subset contains="1 2"/></Period><Metrics metrics="m"><Reporting schemeIdUri="u"/></Metrics>'))
+    period = doc["Period"][0]
+    assert period["Preselection"] == [{"preselectionComponents": ["1", "2"]}] and period["EmptyAdaptationSet"] == [{"id": 4}] and period["Subset"] == [{"contains": [1, 2]}]
+    assert doc["Metrics"][0]["Reporting"] == [{"schemeIdUri": "u"}] and [e["path"] for e in errors] == ["MPD/Period/Strange"]
+    assert xml_to_json(json_to_xml(doc)[0])[0] == doc

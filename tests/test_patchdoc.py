@@ -122,6 +122,18 @@ def test_live_steps():
     assert applied == 1 and json.loads(state[1]) == {"Period": [{"id": "z"}]}
 
 
+def test_live_times_are_instants():
+    """Other spellings and offsets of an instant link and order as the instant; a patch that fails moves nothing."""
+    types = model()
+    add = lambda i: dumps([{"add": {"sel": "/MPD", "Period": {"id": i}}}])
+    state, _ = step((None, None, ""), [row("mpd", "2026-01-01T02:00:00+02:00", None, '{"Period":[]}')], types)
+    state, (applied, _, _) = step(state, [row("patch", "2026-01-01T00:00:10.5Z", "2026-01-01T00:00:00Z", add("a")), row("patch", "2026-01-01T01:00:20+01:00", "2026-01-01T00:00:10.500000z", add("b"))], types)
+    assert applied == 2 and state[0] == "2026-01-01T00:00:20.000000Z"
+    bad = dumps([{"remove": {"sel": "/MPD/Period[9]"}}])
+    after, (applied, dropped, error) = step(state, [row("patch", "2026-01-01T00:00:30Z", "2026-01-01T00:00:20Z", bad)], types)
+    assert (applied, dropped) == (0, 1) and error and after[:2] == state[:2]
+
+
 def test_live_stream(spark, tmp_path):
     from datetime import datetime
 

@@ -102,3 +102,15 @@ def test_imports(tmp_path):
     (tmp_path / "a.xsd").write_text('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:include schemaLocation="b.xsd"/><xs:element name="A"><xs:complexType><xs:attribute name="v" type="B"/><xs:attribute ref="k:href" default="d"/></xs:complexType></xs:element></xs:schema>')
     a = Schema(str(tmp_path / "a.xsd")).root("A")
     assert a.attributes["v"].type.base == "int" and a.attributes["k:href"].namespace == "k" and a.attributes["k:href"].default == "d"
+
+
+def test_repeating_choice_is_one_array_of_operations():
+    from sluice.schema.json_schema import generate
+    from sluice.schema.xsd import Schema
+
+    text = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="Log" type="LogType"/>
+      <xs:complexType name="LogType"><xs:choice minOccurs="1" maxOccurs="unbounded"><xs:element name="put" type="xs:int"/><xs:element name="drop" type="xs:string"/><xs:any namespace="##other"/></xs:choice><xs:attribute name="k" type="xs:int"/></xs:complexType></xs:schema>"""
+    got = generate(Schema([], text), "Log")["$defs"]["LogType"]
+    items = got["properties"]["operations"]["items"]["oneOf"]
+    assert [next(iter(i["properties"])) for i in items[:2]] == ["put", "drop"] and items[2]["not"] == {"anyOf": [{"required": ["put"]}, {"required": ["drop"]}]}
+    assert got["properties"]["operations"]["minItems"] == 1 and "operations" in got["required"] and "put" not in got["properties"] and "k" in got["properties"]

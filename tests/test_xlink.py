@@ -1,6 +1,6 @@
 import json
 
-from sluice.operators.xlink import RESOLVE_TO_ZERO, reassemble, resolve
+from sluice.operators.xlink import RESOLVE_TO_ZERO, reassemble, resolve, resolve_manifests
 
 STUB = "doc_id string, place array<int>, body string"
 REMOTE = "href string, status int, body string"
@@ -40,3 +40,19 @@ def test_modes_and_empty(spark):
     got = run(spark, [("a", [0], lazy), ("a", [1], eager)], remote, mode="onLoad")["a"]
     assert got[0]["xlink"] == {"href": "http://x/1"} and got[1] == {"id": "e", "start": "s"}
     assert run(spark, [], remote) == {} and run(spark, [("a", [0], None), ("b", [0], "{}")], [])["b"] == [{}]
+
+
+def test_manifests(spark):
+    """Elements of the kinds that may be remote are taken out, resolved and put back; others, and bad texts, stay."""
+    doc = {"Period": [{"xlink": {"href": "http://x/two"}}, {"id": "k", "EventStream": [{"xlink": {"href": "http://x/none"}}], "AdaptationSet": [{"id": 1, "SegmentList": {"xlink": {"href": "http://x/list"}}}]}], "BaseURL": [{"xlink": {"href": "http://x/two"}}]}
+    rows = [("a", json.dumps(doc)), ("b", '{"Period":[{"id":"1"}]}'), ("c", "{bad"), ("d", None), ("e", json.dumps({"Period": [{"xlink": {"href": RESOLVE_TO_ZERO}}]}))]
+    remote = [("http://x/two", 200, '[{"id":"1"},{"id":"2"}]'), ("http://x/list", 200, '{"duration":7}')]
+    got = {r.doc_id: r.json for r in resolve_manifests(spark.createDataFrame(rows, "doc_id string, json string"), spark.createDataFrame(remote, REMOTE)).collect()}
+    assert json.loads(got["a"]) == {"Period": [{"id": "1"}, {"id": "2"}, {"id": "k", "AdaptationSet": [{"id": 1, "SegmentList": {"duration": 7}}]}], "BaseURL": [{"xlink": {"href": "http://x/two"}}]}
+    assert json.loads(got["b"]) == {"Period": [{"id": "1"}]} and got["c"] == "{bad" and got["d"] is None and json.loads(got["e"]) == {}
+
+
+def test_plan_grows_by_one_join_a_level(spark):
+    stubs, remote = spark.createDataFrame([("a", [0], "{}")], STUB), spark.createDataFrame([("h", 200, "{}")], REMOTE)
+    joins = [resolve(stubs, remote, depth=d)._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for d in (1, 3, 5)]
+    assert joins == [1, 3, 5]
