@@ -229,7 +229,7 @@ def estimate_zones(parsed: DataFrame, writer: str, received: str, declared: Data
 
 
 def normalise_instants(ops: DataFrame, packager: DataFrame, fields=("publish_time", "original_publish_time"), keys=("patch_id",), writer: str = "packager_id", received: str = "received_at", max_lag_s: int = 900) -> DataFrame:
-    """All texts of ``fields`` with ``keys, field, text, status, utc`` and ``_utc`` in microseconds.
+    """All texts of ``fields`` with ``keys, field, text, status, utc`` and ``_utc`` in microseconds (the keys may hold the writer).
 
     Rows are reduced to their distinct texts before anything is parsed, with partial results made where they are read; the
     parsed table is narrow and written once, as the estimate and the result both read it.  The zone of a writer's zone-less
@@ -238,9 +238,10 @@ def normalise_instants(ops: DataFrame, packager: DataFrame, fields=("publish_tim
     spark = ops.sparkSession
     zones = known_zones(spark)
     dim = packager.select(F.col(writer), "tz", "date_order").groupBy(writer).agg(F.min("tz").alias("tz"), F.min("date_order").alias("date_order"))
-    rows = ops.groupBy(*keys, writer, *fields).agg(F.min(received).alias(received))
+    keys, own = tuple(keys), tuple(dict.fromkeys((*keys, writer)))
+    rows = ops.groupBy(*own, *fields).agg(F.min(received).alias(received))
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    rows = rows.select(*keys, writer, received, pairs.alias("_f")).select(*keys, writer, received, "_f.field", "_f.text").where(F.col("text").isNotNull())
+    rows = rows.select(*own, received, pairs.alias("_f")).select(*own, received, "_f.field", "_f.text").where(F.col("text").isNotNull())
     parsed = cut(parse_columns(rows.join(F.broadcast(dim.select(writer, "date_order")), writer, "left"), "text", "date_order").drop("date_order"), "instants")
     chosen = estimate_zones(parsed.where(F.col("field") == fields[0]), writer, received, dim, zones, max_lag_s)
     chosen = chosen.select(writer, F.col("zone").alias("_home"))

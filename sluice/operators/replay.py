@@ -23,7 +23,7 @@ Representations, however many, and is kept as a number.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions.columns import utc_micros
 from sluice.functions.jsontext import loads, storable
 from sluice.functions.selectors import Step, parse_selector
-from sluice.operators.instants import known_zones, parse_columns, resolve_columns, writer_zones
+from sluice.operators.instants import normalise_instants
 from sluice.session import cut, ship, table
 
 LEVELS = ("Period", "AdaptationSet", "Representation")
@@ -322,16 +323,14 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def with_instant(ops: DataFrame, packager: DataFrame, text: str = "publish_time", writer: str = "packager_id", chosen: DataFrame | None = None, name: str = "instant") -> DataFrame:
-    """Add ``instant`` (microseconds) by the rules of problem 1; null where the text is not one instant.  ``chosen`` has the
-    zones estimated for the writers (``writer, zone``); without it the declared ones hold."""
-    zones = known_zones(ops.sparkSession)
-    dim = packager.groupBy(writer).agg(F.min("tz").alias("_tz"), F.min("date_order").alias("_order"))
-    if chosen is not None:
-        dim = dim.drop("_tz").join(F.broadcast(chosen.select(writer, F.col("zone").alias("_tz"))), writer, "left")
-    df = parse_columns(ops.join(F.broadcast(dim), writer, "left"), text, "_order")  # one row a writer
-    df = resolve_columns(df.withColumn("_in", F.coalesce("_zone", "_tz")), "_in", zones)
-    return df.withColumnRenamed("_utc", name).drop("_tz", "_order", "_local", "_offset", "_zone", "_in", "status")
+DELIVERY = ("mpd_id", "patch_id", "packager_id")
+
+
+def delivery_instants(ops: DataFrame, packager: DataFrame, *fields: str) -> DataFrame:
+    """``mpd_id, patch_id, packager_id, field, text, instant`` (microseconds) of the deliveries' times that are one instant, by the
+    operator and the estimated zones of problem 1; a narrow written table."""
+    got = normalise_instants(ops, packager, fields, DELIVERY).where(F.col("status") == "ok")
+    return cut(got.select(*DELIVERY, "field", "text", F.col("_utc").alias("instant")), "deliveries")
 
 
 ANY, NO_ID = "\x01any", "\x01none"
@@ -459,28 +458,31 @@ def _split(both: DataFrame) -> DataFrame:
 _ASIDE = r"^/MPD(?:/Period(?:\[[^\]]*\])?(?:/AdaptationSet(?:\[[^\]]*\])?(?:/Representation(?:\[[^\]]*\])?)?)?)?/(?!Period\b|AdaptationSet\b|Representation\b|@)"
 
 
-def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark: int | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, keys: tuple[str, ...] = ("instant",)) -> DataFrame:
-    """The Representations after all documents.  ``ops`` has ``instant`` in microseconds (null: left out) and perhaps ``before``, or
-    gets both from ``prepare``, which is applied to one row a delivery and reads its columns ``keys``.
+def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark: int | None = None, instants: DataFrame | None = None, keys: tuple[str, ...] = ("instant",)) -> DataFrame:
+    """The Representations after all documents.  ``ops`` has ``instant`` in microseconds (null: left out) and perhaps ``before``; or
+    ``instants`` has them for the values of ``mpd_id, patch_id`` and ``keys``, which identify a delivery.
     """
     ship(state.sparkSession)
-    if prepare is None:
-        keys = tuple(k for k in ("instant", "before") if k in ops.columns)
+    times = [c for c in ("instant", "before") if c in (ops if instants is None else instants).columns]
+    if instants is None:
+        keys = tuple(times)
     hot = F.coalesce(F.col("mpd_id").isin(hot_manifests(ops)), F.lit(False))
     aside = F.coalesce(F.col("sel").rlike(_ASIDE), F.lit(False))
     one = ops.withColumns({"_received": utc_micros(ops, "received_at"), "payload_json": F.when(~aside, F.col("payload_json")), "value": F.when(~aside, F.col("value"))})
     kinds = {f.name: f.dataType for f in one.schema.fields}
-    empty = F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in _OP_COLUMNS])
+    empty = F.lit(None).cast(T.StructType([T.StructField(c, kinds[c]) for c in _OP_COLUMNS]))
     one = one.select("mpd_id", F.lit(1).alias("kind"), *keys, "patch_id", F.struct(*_OP_COLUMNS).alias("_op"))
     first = state.select("mpd_id", F.lit(0).alias("kind"), *_STATE_COLUMNS, "ord", empty.alias("_op"))
     both = one.unionByName(first, allowMissingColumns=True)
+    if instants is not None:  # rows of their own that meet the operations of their delivery by its keys, so there is no join
+        both = both.unionByName(instants.select("mpd_id", F.lit(1).alias("kind"), *keys, "patch_id", *times), allowMissingColumns=True)
 
     def gathered(rows: DataFrame, *spread: str) -> DataFrame:
         """One row a delivery with the array of its operations, and the distinct rows of the initial state."""
         by = ("mpd_id", "kind", *keys, "patch_id", *_STATE_COLUMNS, "ord")
-        got = rows.repartition(*spread).groupBy(*by).agg(F.collect_set(F.when(F.col("kind") == 1, F.col("_op"))).alias("ops"))
-        got = prepare(got) if prepare else got
-        got = got.where((F.col("kind") == 0) | F.col("instant").isNotNull())
+        found = [F.max(t).alias(t) for t in times if t not in keys]
+        got = rows.repartition(*spread).groupBy(*by).agg(F.collect_set("_op").alias("ops"), *found)
+        got = got.where((F.col("kind") == 0) | (F.col("instant").isNotNull() & (F.size("ops") > 0)))
         return (got if watermark is None else got.where((F.col("kind") == 0) | (F.col("instant") <= watermark))).withColumn("lane", F.lit(""))
 
     def folded(rows: DataFrame) -> DataFrame:
@@ -498,22 +500,24 @@ def replay(state: DataFrame, ops: DataFrame, hold_gaps: bool = False, watermark:
     return cold.unionByName(folded(_split(rows.where(hot)).repartition("mpd_id", "lane")))
 
 
-def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    packager, ops = table(spark, folder, "packager"), table(spark, folder, "patch_op")
-    chosen = cut(writer_zones(ops, packager).select("packager_id", "zone"), "zones")  # one row a writer, read by several branches
-    return ops, lambda rows, text="publish_time", name="instant": with_instant(rows, packager, text, chosen=chosen, name=name)
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    ops, prepare = _feed(spark, folder)
-    return replay(table(spark, folder, "representation"), ops.where(F.col("publish_time").isNotNull()), prepare=prepare, keys=("packager_id", "publish_time")).distinct()
+    ops = table(spark, folder, "patch_op")
+    instants = delivery_instants(ops, table(spark, folder, "packager"), "publish_time").withColumnRenamed("text", "publish_time").drop("field")
+    return replay(table(spark, folder, "representation"), ops.where(F.col("publish_time").isNotNull()), instants=instants, keys=("packager_id", "publish_time")).distinct()
 
 
 def p6_watermark(spark: SparkSession, folder: str) -> DataFrame:
     """How far the feed of each manifest is committed, and what waits behind a gap."""
-    ops, prepare = _feed(spark, folder)
-    rows = ops.groupBy("mpd_id", "patch_id", "packager_id", "publish_time", "original_publish_time").agg(F.collect_set("op_idx").alias("numbers"))
-    return commits(documents(prepare(prepare(rows), "original_publish_time", "before"))).drop("gap")
+    ops = table(spark, folder, "patch_op")
+    instants = delivery_instants(ops, table(spark, folder, "packager"), "publish_time", "original_publish_time")
+    rows = ops.groupBy(*DELIVERY, "publish_time", "original_publish_time").agg(F.collect_set("op_idx").alias("numbers"))
+    for field, name in (("publish_time", "instant"), ("original_publish_time", "before")):
+        one = instants.where(F.col("field") == field).select(*[F.col(k).alias(f"_{k}") for k in DELIVERY], F.col("text").alias("_text"), F.col("instant").alias(name))
+        same = F.col(field) == F.col("_text")
+        for k in DELIVERY:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(one, same, "left").drop("_text", *[f"_{k}" for k in DELIVERY])
+    return commits(documents(rows)).drop("gap")
 
 
 def p6_committed(spark: SparkSession, folder: str) -> DataFrame:

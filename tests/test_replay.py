@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.selectors import parse_selector
-from sluice.operators.replay import ANY, NO_ID, Replay, commits, documents, in_order, lanes, replay, touched_periods, with_instant
+from sluice.operators.replay import ANY, NO_ID, Replay, commits, documents, in_order, lanes, delivery_instants, replay, touched_periods
 
 OPS = "mpd_id string, patch_id long, instant long, op_idx int, op string, sel string, pos string, attr string, payload_name string, payload_json string, value string, ws string, received_at timestamp, kind string"
 REP = "mpd_id string, period_id string, as_id int, as_ord int, ord int, rep_id string, bandwidth long, width int, height int, codecs string, kind string"
@@ -182,9 +182,18 @@ def test_edges(spark):
 
 
 def test_instants_of_deliveries(spark):
-    ops = spark.createDataFrame([(1, "2025-10-26 02:30:00"), (1, "2025-10-26 04:30:00"), (None, "x"), (1, None)], "packager_id int, publish_time string")
+    """Only deliveries whose time is one instant are there, and operations meet them by their keys, null keys included."""
+    ops = [("m", 1, 1, "2025-10-26 02:30:00"), ("m", 2, 1, "2025-10-26 04:30:00"), ("m", 3, None, "x"), ("m", 4, 1, None), (None, None, None, "2025-10-26T03:30:00Z")]
+    frame = spark.createDataFrame([(*o, None) for o in ops], "mpd_id string, patch_id long, packager_id int, publish_time string, received_at timestamp")
     dim = spark.createDataFrame([(1, "Europe/Berlin", "dmy")], "packager_id int, tz string, date_order string")
-    assert sorted((r.instant or 0) for r in with_instant(ops, dim).collect()) == [0, 0, 0, 1761449400000000]
+    instants = delivery_instants(frame, dim, "publish_time").withColumnRenamed("text", "publish_time").drop("field")
+    assert sorted((str(r.mpd_id), r.patch_id, r.instant) for r in instants.collect()) == [("None", None, 1761449400000000), ("m", 2, 1761449400000000)]
+    rep = "/MPD/Period[1]/AdaptationSet[1]/Representation[1]/@bandwidth"
+    rows = [(m, p, w, t, *op(m, 0, 0, rep, value=str(100 + i))[3:]) for i, (m, p, w, t) in enumerate(ops)]
+    feed = spark.createDataFrame(rows, OPS.replace("instant long", "packager_id int, publish_time string"))
+    reps = spark.createDataFrame([(m, "p", 1, 1, 1, "r", 1, None, None, None, "") for m in ("m", None)], REP)
+    got = {r.mpd_id: r.bandwidth for r in replay(reps, feed, instants=instants, keys=("packager_id", "publish_time")).collect()}
+    assert got == {"m": 101, None: 104}
 
 
 def test_selectors():
