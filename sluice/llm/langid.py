@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.columns import bind
 from sluice.session import scan, ship
 
 ORDER = 4
@@ -72,10 +73,14 @@ def language_names(spark: SparkSession) -> dict[str, str]:
 
 def label_language(label: Column) -> Column:
     """The two-letter code a label names, in whatever spelling; null if it names none."""
-    names = F.from_json(F.lit(json.dumps(language_names(SparkSession.active()))), "map<string,string>")
+    names = language_names(SparkSession.active())
+    codes = sorted(c for c, of in names.items() if c == of)
+    others = {n: c for n, c in names.items() if n != c}
+    listed = lambda xs: F.split(F.lit("\x01".join(xs)), "\x01")
+    table = F.map_from_arrays(listed(others), listed(others.values()))  # a constant
     low = F.lower(F.trim(label))
     head = F.regexp_extract(low, r"^([^\s_-]+)(?:[_-].*)?$", 1)
-    return F.coalesce(F.try_element_at(names, head), F.try_element_at(names, low))
+    return F.when(head.isin(codes), head).otherwise(F.coalesce(F.try_element_at(table, head), F.try_element_at(table, low)))
 
 
 _NOISE = re.compile(r"`[^`]*`|<[^<>]*>|https?://[!-~]*|[!-~]*[@/=_{}\\][!-~]*|\b[A-Z]-?\d+\b|[\d#*|>+-]+")
@@ -276,7 +281,7 @@ def fit(docs: DataFrame, clean: DataFrame | None = None, per_language: int = 150
     apart to calibrate the confidence.
     """
     lang = label_language(F.col("lang"))
-    labelled = docs.select(lang.alias("lang"), "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = docs.select(bind(lang).alias("lang"), "doc_id", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a code
     parts = 1 << 20
     keep = F.lit(False)
