@@ -47,7 +47,7 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from sluice.operators.roundtrip import failures, report, validate_roundtrip
-    from sluice.sources.manifests import read_json_manifests, read_manifests, write_json, write_xml
+    from sluice.sources.manifests import read_json_manifests, read_manifests, write_json, write_named, write_xml
 
     spark = SparkSession.builder.appName("sluice").getOrCreate()
     if a.mode == "json2mpd":
@@ -59,7 +59,9 @@ def main(args: list[str] | None = None) -> int:
         if a.mode == "roundtrip":
             from sluice.session import cut
 
-            done = cut(validate_roundtrip(rows, schema=types).selectExpr("category", "doc_id", "success", "error", "ms_to_json + ms_to_xml AS ms"))
+            done = cut(validate_roundtrip(rows, schema=types).selectExpr("category", "doc_id", "success", "error", "ms_to_json + ms_to_xml AS ms", "json", "regenerated"))
+            if a.output:
+                write_named(done, a.output, json=".json", regenerated="-regenerated.mpd").count()
             _print(report(done).orderBy("category"))
             return int(_print(failures(done).orderBy("category", "doc_id")) > 0)
         rows = convert.to_json(rows, schema=types, pretty=not a.minified)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from uuid import uuid4
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,10 +80,43 @@ def write_json(df: DataFrame, folder: str, column: str = "json", minified: bool
     out.write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(folder)
 
 
+def _own_name(by: str):
+    """An id as a file name; one that has to be changed for it gets a digest, so that no two ids share a name."""
+    clean = F.regexp_replace(by, r"[^A-Za-z0-9._-]+", "_")
+    return F.when(clean == F.col(by), clean).otherwise(F.concat(clean, F.lit("-"), F.substring(F.sha2(F.col(by), 256), 1, 12)))
+
+
 def write_xml(df: DataFrame, folder: str, column: str = "xml", by: str = "doc_id", minified: bool = True, gzip: bool = False) -> None:
     """XML texts partitioned by a column (a document's folder holds its text)."""
-    out = df.select(F.regexp_replace(by, r"[^A-Za-z0-9._-]+", "_").alias(by), (minify_xml(F.col(column)) if minified else F.col(column)).alias("value"))
+    out = df.select(_own_name(by).alias(by), (minify_xml(F.col(column)) if minified else F.col(column)).alias("value"))
     out.write.mode("overwrite").partitionBy(by).option("compression", "gzip" if gzip else "none").text(folder)
 
 
-__all__ = ["read_manifests", "read_json_manifests", "read_patches", "read_url_map", "read_url_report", "read_catalogue", "urls_in_json", "with_source_url", "fix_url", "write_json", "write_xml", "is_mpd_url"]
+def write_named(df: DataFrame, folder: str, **columns: str) -> DataFrame:
+    """One file a document and column in a folder that all executors mount: ``write_named(df, "/out", json=".json",
+    regenerated="-regenerated.mpd")``.  A file is its document's base name and the suffix; it appears whole (written aside and renamed), so
+    a task that runs again does no harm.  Null texts have no file.  Returns ``doc_id, name, bytes`` of the files, lazily: the files
+    are written when it is read."""
+    base = F.regexp_replace(F.substring_index("doc_id", "/", -1), r"\.[A-Za-z0-9]+$", "")
+    clean = F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_")
+    name = F.concat(clean, F.when(clean == F.col("doc_id"), F.lit("")).otherwise(F.concat(F.lit("-"), F.substring(F.sha2("doc_id", 256), 1, 12))))
+    files = F.explode(F.array(*[F.struct(F.concat(name, F.lit(suffix)).alias("name"), F.col(c).alias("text")) for c, suffix in columns.items()]))
+    rows = df.where(F.col("doc_id").isNotNull()).select("doc_id", files.alias("f")).select("doc_id", "f.name", "f.text").where(F.col("text").isNotNull())
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            sizes = []
+            for file, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
+                data = text.encode("utf-8", "replace")
+                aside = os.path.join(folder, f".{file}.{uuid4()}")
+                with open(aside, "wb") as f:
+                    f.write(data)
+                os.replace(aside, os.path.join(folder, file))
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(sizes, pa.int64())], names=["doc_id", "name", "bytes"])
+
+    return rows.mapInArrow(run, "doc_id string, name string, bytes long")
+
+
+__all__ = ["read_manifests", "read_json_manifests", "read_patches", "read_url_map", "read_url_report", "read_catalogue", "urls_in_json", "with_source_url", "fix_url", "write_json", "write_xml", "write_named", "is_mpd_url"]

@@ -2,7 +2,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from sluice.sources.manifests import fix_url, read_catalogue, read_json_manifests, read_manifests, read_patches, read_url_map, read_url_report, urls_in_json, with_source_url, write_json, write_xml
+from sluice.sources.manifests import fix_url, read_catalogue, read_json_manifests, read_manifests, read_patches, read_url_map, read_url_report, urls_in_json, with_source_url, write_json, write_named, write_xml
 
 
 def test_reading(spark, tmp_path):
@@ -42,5 +42,15 @@ def test_writing(spark, tmp_path):
     texts = [gzip.decompress(p.read_bytes()).decode().strip() for p in (tmp_path / "j").glob("*.gz")]
     assert [t for t in texts if t] == ['{"k":"v w"}']
     write_xml(df, str(tmp_path / "x"))
-    (part,) = (tmp_path / "x").glob("doc_id=a_1/*.txt")
+    (part,) = (tmp_path / "x").glob("doc_id=a_1-*/*.txt")
     assert part.read_text().strip() == "<a><b/></a>"
+
+
+def test_named_files(spark, tmp_path):
+    """Files keep their document's name; ids with one base name stay apart, and a null text has no file."""
+    df = spark.createDataFrame([("plain", "{}", "<a/>"), ("x/one.mpd", "[1]", None), ("y/one.mpd", "[2]", "<b/>"), (None, "{}", "<c/>")], "doc_id string, json string, xml string")
+    files = {(r.doc_id, r.name.partition("-")[0]): (r.name, r.bytes) for r in write_named(df, str(tmp_path / "out"), json=".json", xml="-regenerated.mpd").collect()}
+    texts = {p.name: p.read_text() for p in (tmp_path / "out").iterdir()}
+    assert texts["plain.json"] == "{}" and texts["plain-regenerated.mpd"] == "<a/>" and len(texts) == 5
+    ones = sorted(v for k, v in texts.items() if k.startswith("one-") and k.endswith(".json"))
+    assert ones == ["[1]", "[2]"] and sum(n for _, n in files.values()) <= sum(map(len, texts.values()))
